@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import after_scheme, as_text, json_field
 from ..schemas import NUCLEIC_ACID_TYPES, PIPELINE, RUN_PROCESSING
+from ..session import cut
 from .entities import Ids, Tables, _list
 from .grouping import LIST_ROWS, only_ids, with_part
 
@@ -241,7 +242,9 @@ def digest_readset_file(
     Of several files for one slot the one of highest id counts.
     """
     selected, rejected = union_selectors(t, "readset", request, project_id)
-    slotted = _slotted_files(t, request, selected)
+    # Used several times below; written once.
+    selected = cut(selected, "selected")
+    slotted = cut(_slotted_files(t, request, selected), "slotted")
 
     def pick(slot: str, alias: str) -> Column:
         hit = (F.col("slot") == slot) & F.col("path").isNotNull()
@@ -284,7 +287,7 @@ def missing_slot_files(t: Tables, request: dict, slotted: DataFrame) -> DataFram
 
 
 def readset_file_warnings(t: Tables, project_id: Ids, request: dict) -> DataFrame:
-    selected, _ = union_selectors(t, "readset", request, project_id)
+    selected = cut(union_selectors(t, "readset", request, project_id)[0], "selected")
     return missing_slot_files(t, request, _slotted_files(t, request, selected))
 
 
@@ -438,6 +441,7 @@ def digest_delivery(
     """
     endpoint = request.get("location_endpoint")
     selected, rejected = union_selectors(t, "readset", request, project_id)
+    selected = cut(selected, "selected")
     readsets = selected.dropDuplicates(["readset_id"])
     # Selected twice means listed twice, as the three selectors are simply concatenated.
     copies = selected.groupBy("readset_id").agg(F.count(F.lit(1)).alias("copies"))

@@ -1,4 +1,4 @@
 """Registered queries over the derived tables."""
 
-from . import cleanup_queries, entity_queries  # noqa: F401
+from . import cleanup_queries, digest_queries, entity_queries, ingest_queries  # noqa: F401
 from .registry import OPERATORS, ORACLE, QUERIES  # noqa: F401
