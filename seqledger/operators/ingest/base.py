@@ -126,23 +126,17 @@ def get_or_create(
     )
     stored = existing if any_flags else active(existing)
     stored = stored.groupBy(*[F.col(k).alias(f"_s_{k}") for k in key]).agg(F.min("id").alias("_found"))
-    matched = cut(
-        firsts.join(stored, null_safe(firsts, stored, [(k, f"_s_{k}") for k in key]), "left")
-        .drop(*[f"_s_{k}" for k in key]),
+    matched = firsts.join(stored, null_safe(firsts, stored, [(k, f"_s_{k}") for k in key]), "left")
+    kept = [*key, *extra, "pos"]
+    fresh = allocate_ids(matched.filter(F.col("_found").isNull()).select(*kept), existing)
+    known = matched.filter(F.col("_found").isNotNull()).select(*kept, F.col("_found").alias("id"))
+    plan = cut(
+        known.withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True))),
         f"match-{table}",
     )
-    fresh = cut(
-        allocate_ids(matched.filter(F.col("_found").isNull()).drop("_found"), existing), f"new-{table}"
-    )
-
-    def as_mapping(rows: DataFrame, id_col: str, is_new: bool) -> DataFrame:
-        return rows.select(
-            *[F.col(k).alias(f"_m_{k}") for k in key], F.col(id_col).alias(f"{table}_id"),
-            F.lit(is_new).alias("is_new"), F.col("pos").alias("_first"),
-        )
-
-    mapping = as_mapping(matched.filter(F.col("_found").isNotNull()), "_found", False).unionByName(
-        as_mapping(fresh, "id", True)
+    mapping = plan.select(
+        *[F.col(k).alias(f"_m_{k}") for k in key], F.col("id").alias(f"{table}_id"), "is_new",
+        F.col("pos").alias("_first"),
     )
     if table in key or f"{table}_id" in incoming.columns:
         incoming = incoming.drop(f"{table}_id")
@@ -151,7 +145,8 @@ def get_or_create(
         .withColumn("first", F.col("is_new") & (F.col("pos") == F.col("_first")))
         .drop("_first", *[f"_m_{k}" for k in key])
     )
-    return Resolved(rows, complete(fresh, table, as_of), rows.filter(~F.col("first")))
+    new = complete(plan.filter("is_new"), table, as_of)
+    return Resolved(rows, new, rows.filter(~F.col("first")))
 
 
 def insert_all(existing: DataFrame, incoming: DataFrame, table: str, as_of: Column) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,10 @@
 """Registered queries over the derived tables."""
 
-from . import cleanup_queries, digest_queries, entity_queries, ingest_queries  # noqa: F401
+from . import (  # noqa: F401
+    cleanup_queries,
+    digest_queries,
+    entity_queries,
+    ingest_queries,
+    modify_queries,
+)
 from .registry import OPERATORS, ORACLE, QUERIES  # noqa: F401

@@ -250,9 +250,7 @@ version AS (
 """
 
 
-@query("pipeline_metric_versions", "I-17, I-10", RUNS.replace("FROM named WINDOW", "FROM active WINDOW").replace(", step AS", """, active AS (
-  SELECT * FROM named)
-, step AS""") + "SELECT project_name, value, deprecated, readsets FROM version")
+@query("pipeline_metric_versions", "I-17, I-10", RUNS + "SELECT project_name, value, deprecated, readsets FROM version")
 def pipeline_metric_versions(t):
     n = reports.loaded_pipelines(t)[1]
     m = n["metric"].filter("name = 'merged'").select(F.col("id").alias("metric_id"), "job_id", "value", "deprecated")
@@ -317,8 +315,7 @@ def pipeline_warning_counts(t):
 
 
 @query("pipeline_reload_counts", "I-17, I-1, I-19", NAMES + """
-SELECT 'job' AS name, count(*) AS before, count(*) AS after FROM named WHERE false
-UNION ALL SELECT n, b, b FROM (
+SELECT n AS name, b AS before, b AS after FROM (
   SELECT 'job' AS n, count(*) + count(DISTINCT project_name) + count(DISTINCT (project_name, run_name)) AS b FROM named
   UNION ALL SELECT 'operation', 2 * count(DISTINCT project_name) FROM named
   UNION ALL SELECT 'operation_config', 1

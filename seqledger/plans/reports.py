@@ -172,8 +172,10 @@ def _once(t: Tables, name: str, make):
     return _memo[key]
 
 
-def _fixed(t: Tables) -> Tables:
-    return {k: cut(v, k) for k, v in t.items()}
+def _fixed(out: Loaded, base: Tables) -> Tables:
+    """The tables after a load, those it touched written out."""
+    touched = set(out.inserts) | set(out.updates)
+    return {k: cut(v, k) if k in touched else v for k, v in out.tables(base).items()}
 
 
 def empty_with_projects(t: Tables) -> Tables:
@@ -189,7 +191,7 @@ def loaded_runs(t: Tables) -> tuple[Loaded, Tables]:
         base = empty_with_projects(t)
         docs = read_reports(t["project"].sparkSession, run_processing_reports(t), "run_processing")
         out = ingest_run_processing(base, docs, stamp())
-        return out, _fixed(out.tables(base))
+        return out, _fixed(out, base)
 
     return _once(t, "runs", make)
 
@@ -208,7 +210,7 @@ def loaded_transfers(t: Tables) -> tuple[Loaded, Tables]:
         base = loaded_runs(t)[1]
         docs = read_reports(t["project"].sparkSession, move_reports(t, "abacus", "beluga"), "transfer")
         out = ingest_transfer(base, docs, stamp())
-        return out, _fixed(out.tables(base))
+        return out, _fixed(out, base)
 
     return _once(t, "transfers", make)
 
@@ -218,7 +220,7 @@ def loaded_deliveries(t: Tables) -> tuple[Loaded, Tables]:
         base = loaded_transfers(t)[1]
         docs = read_reports(t["project"].sparkSession, move_reports(t, "beluga", "handoff", True), "delivery")
         out = ingest_delivery(base, docs, stamp())
-        return out, _fixed(out.tables(base))
+        return out, _fixed(out, base)
 
     return _once(t, "deliveries", make)
 
@@ -228,7 +230,7 @@ def loaded_pipelines(t: Tables) -> tuple[Loaded, Tables]:
         base = loaded_runs(t)[1]
         docs = read_reports(t["project"].sparkSession, pipeline_reports(t), "pipeline_run")
         out = ingest_pipeline_run(base, docs, stamp())
-        return out, _fixed(out.tables(base))
+        return out, _fixed(out, base)
 
     return _once(t, "pipelines", make)
 
@@ -238,6 +240,6 @@ def reloaded_pipelines(t: Tables) -> tuple[Loaded, Tables]:
         base = loaded_pipelines(t)[1]
         docs = read_reports(t["project"].sparkSession, pipeline_reports(t), "pipeline_run")
         out = ingest_pipeline_run(base, docs, stamp())
-        return out, _fixed(out.tables(base))
+        return out, _fixed(out, base)
 
     return _once(t, "pipelines again", make)

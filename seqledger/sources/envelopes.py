@@ -79,12 +79,7 @@ def read_envelopes(spark: SparkSession, path: str, kind: str, multi_line: bool =
     """
     schema = ENVELOPE_SCHEMAS[kind]
     docs = spark.read.schema(schema).option("multiLine", multi_line).json(path)
-    return docs.withColumn("source", _source())
-
-
-def _source():
-    # Two documents of one file are told apart by their content; equal ones are one report.
-    return F.col("_metadata.file_path")
+    return docs.withColumn("source", F.col("_metadata.file_path"))
 
 
 def read_run_processing(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -103,12 +98,12 @@ def read_delivery(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     return read_envelopes(spark, path, "delivery", multi_line)
 
 
-def read_modifications(spark: SparkSession, path: str) -> DataFrame:
+def read_modifications(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Requests as one row per (entry, id), with the request's switches.
 
     Entries without ids give one row whose ``id`` is null, the "no ids" warning.
     """
-    docs = spark.read.schema(MODIFICATION_SCHEMA).option("multiLine", True).json(path)
+    docs = spark.read.schema(MODIFICATION_SCHEMA).option("multiLine", multi_line).json(path)
     entries = docs.select(
         F.col("_metadata.file_path").alias("source"),
         *[F.coalesce(c, F.lit(False)).alias(c) for c in ("dry_run", "cascade", "cascade_up", "cascade_down")],
