@@ -5,6 +5,7 @@ from .columns import (  # noqa: F401
     as_text,
     before_triple_slash,
     bytes_md5,
+    compact_json,
     date_or,
     file_type,
     first_of,

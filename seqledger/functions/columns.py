@@ -75,6 +75,11 @@ def json_field(col: Column, field: str) -> Column:
     return F.get_json_object(col, f"$.{field}")
 
 
+def compact_json(col: Column) -> Column:
+    """JSON text without layout, keys in order; text that is no JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(col)), col)
+
+
 def union_alias(current: Column, added: Column) -> Column:
     """``current`` followed by the names of ``added`` it lacks; nulls count as empty."""
     empty = F.array().cast("array<string>")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,15 @@ CONFIG_KEY = ("name", "version", "md5sum", "data")
 JOB_KEY = ("operation_id", "name", "start", "stop", "status", "type")
 
 
+# A fixed time: text, datetime or column.
+Moment = str | datetime | Column
+
+
+def moment(as_of: Moment) -> Column:
+    """The time that stands in for the clock."""
+    return (as_of if isinstance(as_of, Column) else F.lit(as_of)).cast("timestamp")
+
+
 @dataclass
 class Loaded:
     """What a batch of documents adds and changes."""
@@ -319,7 +329,7 @@ def settle_links(t: Tables, out: Loaded) -> None:
 
 
 def create_project(
-    t: Tables, names: DataFrame, as_of: Column
+    t: Tables, names: DataFrame, as_of: Moment
 ) -> tuple[DataFrame, DataFrame]:
     """Projects by upper-cased name, whatever the flags: (all rows asked for, new rows).
 
@@ -334,7 +344,7 @@ def create_project(
     # Names carry no document; they are numbered in their own order.
     placed = number_documents(wanted, "name").withColumn("pos", place())
     found = get_or_create(
-        t["project"], placed, "project", PROJECT_KEY, as_of, ("ext_id", "ext_src"), any_flags=True
+        t["project"], placed, "project", PROJECT_KEY, moment(as_of), ("ext_id", "ext_src"), any_flags=True
     )
     every = t["project"].unionByName(found.new)
     return every.join(wanted.select("name"), "name", "left_semi").select(*t["project"].columns), found.new

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...functions import date_or, file_type
+from ...functions import compact_json, date_or, file_type
 from ...schemas import FLAGS, LANES, LONG_DATE, NUCLEIC_ACID_TYPES, RUN_PROCESSING, SEQUENCING_TYPES, SHORT_DATE
 from ...session import cut
 from ..entities import Tables
@@ -15,8 +15,10 @@ from ..grouping import without_ids
 from ..validate import enum_violations, error_rows, existing_names, repeated_names
 from .base import (
     Loaded,
+    Moment,
     insert_all,
     link,
+    moment,
     number,
     place,
     settle_links,
@@ -83,7 +85,7 @@ def run_processing_errors(t: Tables, docs: DataFrame) -> DataFrame:
 
 
 def ingest_run_processing(
-    t: Tables, envelopes: DataFrame, as_of: Column, project: str | None = None
+    t: Tables, envelopes: DataFrame, as_of: Moment, project: str | None = None
 ) -> Loaded:
     """Insert operation, job, run, specimens, samples, experiments, readsets, files, locations,
     metrics and links of a batch of reports.  All readsets must be new; metrics are always
@@ -92,7 +94,7 @@ def ingest_run_processing(
     errors = cut(run_processing_errors(t, docs), "errors")
     out = Loaded(errors=errors, docs=docs.select("doc", "source"))
     good = without_ids(docs, errors, "doc", "doc")
-    stamp = as_of.cast("timestamp")
+    stamp = moment(as_of)
 
     head = good.select(
         "doc", "project_id", place().alias("pos"), F.col("operation_platform").alias("platform"),
@@ -134,7 +136,7 @@ def ingest_run_processing(
         place("doc", "a", "b", "c", "d").alias("pos"), "readset_id", "job_id",
         F.col("f.location_uri").alias("uri"), F.col("f.file_name").alias("name"),
         F.col("f.file_md5sum").alias("md5sum"), F.col("f.file_deliverable").alias("deliverable"),
-        F.col("f.file_extra_metadata").alias("extra_metadata"), file_type(F.col("f.file_name")).alias("type"),
+        compact_json(F.col("f.file_extra_metadata")).alias("extra_metadata"), file_type(F.col("f.file_name")).alias("type"),
     )
     files, out.inserts["file"] = insert_all(t["file"], files, "file", stamp)
     link(t, out, "readset_file", files)

@@ -273,7 +273,7 @@ def streamed_transfers(t):
     folder = reports.move_reports(t, "abacus", "beluga")
     for _ in range(2):
         stream = stream_ingest(
-            spark, folder, "transfer", base, f"{base}-checkpoint", multi_line=False, as_of=reports.stamp()
+            spark, folder, "transfer", base, f"{base}-checkpoint", multi_line=False, as_of=reports.AS_OF
         )
         stream.awaitTermination()
     return load_tables(spark, base)["location"].groupBy("endpoint").agg(F.count(F.lit(1)).alias("n"))

@@ -26,10 +26,6 @@ AS_OF = "2024-06-01 12:00:00"
 RUN_DATE = "-03-04 05:06:07"
 
 
-def stamp() -> Column:
-    return F.lit(AS_OF).cast("timestamp")
-
-
 def write_reports(rows: DataFrame, fields: list) -> str:
     """Write one JSON line per row; ``source`` orders the documents."""
     path = scratch_path(rows.sparkSession, "reports")
@@ -181,7 +177,7 @@ def _fixed(out: Loaded, base: Tables) -> Tables:
 def empty_with_projects(t: Tables) -> Tables:
     spark = t["project"].sparkSession
     empty = empty_tables(spark)
-    _, new = create_project(empty, t["project"].select(F.lower("name").alias("name")), stamp())
+    _, new = create_project(empty, t["project"].select(F.lower("name").alias("name")), AS_OF)
     return {**empty, "project": new}
 
 
@@ -190,7 +186,7 @@ def loaded_runs(t: Tables) -> tuple[Loaded, Tables]:
     def make():
         base = empty_with_projects(t)
         docs = read_reports(t["project"].sparkSession, run_processing_reports(t), "run_processing")
-        out = ingest_run_processing(base, docs, stamp())
+        out = ingest_run_processing(base, docs, AS_OF)
         return out, _fixed(out, base)
 
     return _once(t, "runs", make)
@@ -200,7 +196,7 @@ def reloaded_runs(t: Tables) -> Loaded:
     """The same reports once more: every readset is there already."""
     def make():
         docs = read_reports(t["project"].sparkSession, run_processing_reports(t), "run_processing")
-        return ingest_run_processing(loaded_runs(t)[1], docs, stamp())
+        return ingest_run_processing(loaded_runs(t)[1], docs, AS_OF)
 
     return _once(t, "runs again", make)
 
@@ -209,7 +205,7 @@ def loaded_transfers(t: Tables) -> tuple[Loaded, Tables]:
     def make():
         base = loaded_runs(t)[1]
         docs = read_reports(t["project"].sparkSession, move_reports(t, "abacus", "beluga"), "transfer")
-        out = ingest_transfer(base, docs, stamp())
+        out = ingest_transfer(base, docs, AS_OF)
         return out, _fixed(out, base)
 
     return _once(t, "transfers", make)
@@ -219,7 +215,7 @@ def loaded_deliveries(t: Tables) -> tuple[Loaded, Tables]:
     def make():
         base = loaded_transfers(t)[1]
         docs = read_reports(t["project"].sparkSession, move_reports(t, "beluga", "handoff", True), "delivery")
-        out = ingest_delivery(base, docs, stamp())
+        out = ingest_delivery(base, docs, AS_OF)
         return out, _fixed(out, base)
 
     return _once(t, "deliveries", make)
@@ -229,7 +225,7 @@ def loaded_pipelines(t: Tables) -> tuple[Loaded, Tables]:
     def make():
         base = loaded_runs(t)[1]
         docs = read_reports(t["project"].sparkSession, pipeline_reports(t), "pipeline_run")
-        out = ingest_pipeline_run(base, docs, stamp())
+        out = ingest_pipeline_run(base, docs, AS_OF)
         return out, _fixed(out, base)
 
     return _once(t, "pipelines", make)
@@ -239,7 +235,7 @@ def reloaded_pipelines(t: Tables) -> tuple[Loaded, Tables]:
     def make():
         base = loaded_pipelines(t)[1]
         docs = read_reports(t["project"].sparkSession, pipeline_reports(t), "pipeline_run")
-        out = ingest_pipeline_run(base, docs, stamp())
+        out = ingest_pipeline_run(base, docs, AS_OF)
         return out, _fixed(out, base)
 
     return _once(t, "pipelines again", make)
