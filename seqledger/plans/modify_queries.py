@@ -251,7 +251,7 @@ def written_catalog(t):
     write_tables(spark, base, {"location": t["location"], "file": t["file"]})
     first = load_tables(spark, base)
     out = m.apply(first, "delete", _ask(_every(first, "location", 3), "location"))
-    write_tables(spark, base, {"file": t["file"].limit(0)}, dry_run=True)
+    write_tables(spark, base, {"file": t["file"].filter(F.lit(False))}, dry_run=True)
     write_tables(spark, base, out.changed)
     last = load_tables(spark, base)
     parts = [

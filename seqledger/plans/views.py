@@ -106,12 +106,12 @@ def tables(spark: SparkSession, folder: str) -> Tables:
         ),
         "operation": _table(
             supplier, "operation", id=c("s_suppkey"), project_id=c("n_regionkey"),
-            operation_config_id=c("s_suppkey") % 5, platform=F.lit("abacus"), cmd_line=F.lit("run.sh"),
+            operation_config_id=F.floor(c("s_suppkey") / 16), platform=F.lit("abacus"), cmd_line=F.lit("run.sh"),
             name=_choice(c("s_suppkey"), RUN_PROCESSING, TRANSFER, PIPELINE, DELIVERY), status=F.lit("COMPLETED"),
         ),
         "reference": spark.createDataFrame([], SCHEMAS["reference"]),
         "operation_config": _table(
-            spark.range(5), "operation_config", id=c("id"), name=F.lit("cfg"), version=c("id"),
+            src("supplier").select(F.floor(c("s_suppkey") / 16).alias("id")).distinct(), "operation_config", id=c("id"), name=F.lit("cfg"), version=c("id"),
             md5sum=F.concat(F.lit("m"), c("id")), data=text_bytes(F.concat(F.lit("cfg"), c("id") % 3)),
         ),
         "job": _table(
@@ -192,13 +192,13 @@ e_readset AS (
     o_orderkey % 11 = 0 AS deprecated, o_orderkey % 7 = 0 AS deleted
   FROM orders),
 e_operation AS (
-  SELECT s_suppkey AS id, CAST(n_regionkey AS BIGINT) AS project_id, s_suppkey % 5 AS operation_config_id,
+  SELECT s_suppkey AS id, CAST(n_regionkey AS BIGINT) AS project_id, s_suppkey // 16 AS operation_config_id,
     'abacus' AS platform, 'run.sh' AS cmd_line, 'COMPLETED' AS status,
     CASE s_suppkey % 4 WHEN 0 THEN '{RUN_PROCESSING}' WHEN 1 THEN '{TRANSFER}' WHEN 2 THEN '{PIPELINE}'
       ELSE '{DELIVERY}' END AS name, false AS deprecated, false AS deleted
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 e_operation_config AS (
-  SELECT range AS id, 'cfg' || (range % 3) AS data, 'm' || range AS md5sum FROM range(5)),
+  SELECT DISTINCT s_suppkey // 16 AS id, 'cfg' || ((s_suppkey // 16) % 3) AS data, 'm' || (s_suppkey // 16) AS md5sum FROM supplier),
 e_line AS (SELECT * FROM lineitem WHERE l_suppkey % 9 <> 0),
 e_job AS (
   SELECT DISTINCT l_suppkey * 10 + l_linenumber AS id, l_suppkey AS operation_id,

@@ -16,7 +16,7 @@ from seqledger.session import local_session  # noqa: E402
 def spark():
     session = local_session(4, "tests")
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     return session
 
 
