@@ -203,7 +203,7 @@ def topup_pairs(samples: DataFrame, manual: DataFrame | None = None) -> DataFram
 def merge_topups(t: Tables, pairs: DataFrame) -> Tables:
     """Samples merged into their keepers: names kept as aliases, readsets re-pointed.
 
-    A sample given away to several keepers goes to the lowest one.
+    The alias list is one column of the keeper's row and holds distinct names only.  A sample given away to several keepers goes to the lowest one.
     """
     pairs = cut(pairs, "topup-pairs")
     aliases = pairs.groupBy(F.col("id_keep").alias("_keep")).agg(
@@ -309,24 +309,25 @@ def _placed(t: Tables, files: DataFrame) -> DataFrame:
 
 
 def _located(t: Tables) -> DataFrame:
-    return _placed(t, only_ids(t["file"], t["location"], "id", "file_id")).distinct()
+    return _placed(t, only_ids(t["file"], t["location"], "id", "file_id"))
 
 
 STRICT = ["name", "operation_id", "job_id"]
 
 
-def strict_candidates(t: Tables) -> DataFrame:
+def strict_candidates(t: Tables, located: DataFrame | None = None) -> DataFrame:
     """Unlocated files that share name and job with a located one."""
-    twins = _located(t).select(*STRICT).distinct()
+    twins = (_located(t) if located is None else located).select(*STRICT).distinct()
     return _placed(t, unlocated_files(t)).join(twins, STRICT, "left_semi")
 
 
-def strict_pairs(t: Tables) -> DataFrame:
+def strict_pairs(t: Tables, candidates: DataFrame, located: DataFrame) -> DataFrame:
     """(readset_id, remove_file_id, keep_file_id)."""
-    keep = _located(t).select(F.col("file_id").alias("keep_file_id"), *STRICT)
+    keep = located.select(F.col("file_id").alias("keep_file_id"), *STRICT)
+    # Which files stand in for a file is settled before readsets come in.
+    twins = candidates.join(keep, STRICT).select("file_id", "keep_file_id").distinct()
     return (
-        t["readset_file"].join(strict_candidates(t), "file_id")
-        .join(keep, STRICT)
+        t["readset_file"].join(twins, "file_id")
         .select("readset_id", F.col("file_id").alias("remove_file_id"), "keep_file_id")
         .distinct()
     )
@@ -343,10 +344,10 @@ def _drop_files(t: Tables, ids: DataFrame, col: str = "file_id") -> Tables:
 def rescue_strict(t: Tables) -> Tables:
     """Readset links moved from unlocated files to their located twins of the same job; the
     unlocated files and their links are dropped."""
-    gone = cut(strict_candidates(t).select("file_id").distinct(), "strict")
-    linked = strict_pairs(t).select("readset_id", F.col("keep_file_id").alias("file_id"))
-    out = _drop_files({**t, "readset_file": add_links(t["readset_file"], linked)}, gone)
-    return out
+    located = cut(_located(t), "located")
+    candidates = cut(strict_candidates(t, located), "strict")
+    linked = strict_pairs(t, candidates, located).select("readset_id", F.col("keep_file_id").alias("file_id"))
+    return _drop_files({**t, "readset_file": add_links(t["readset_file"], linked)}, candidates)
 
 
 def job_only_files(t: Tables) -> DataFrame:
@@ -361,17 +362,34 @@ def drop_job_only(t: Tables) -> Tables:
     return {k: out[k] for k in ("job_file", "file")}
 
 
+def _untwinned(t: Tables, located: DataFrame) -> DataFrame:
+    """Unlocated files with their jobs, where no located file shares name and job."""
+    twins = located.select(*STRICT).distinct()
+    return _placed(t, unlocated_files(t)).join(twins, STRICT, "left_anti")
+
+
 def unlocated_readset_files(t: Tables) -> DataFrame:
     """(file_id, name, readset_id, operation_id, job_id) without a strict twin."""
-    twins = _located(t).select(*STRICT).distinct()
-    return (
-        _placed(t, unlocated_files(t))
-        .join(twins, STRICT, "left_anti")
-        .join(t["readset_file"], "file_id")
-        .select("file_id", "name", "readset_id", "operation_id", "job_id")
+    return _untwinned(t, _located(t)).join(t["readset_file"], "file_id").select(
+        "file_id", "name", "readset_id", "operation_id", "job_id"
     )
 
 
+def _rescuers(t: Tables, located: DataFrame, keys: list[str]) -> DataFrame:
+    """(located_file_id, keys...): located files with a uri that ends with their name."""
+    ends = (
+        t["location"].select("file_id", "uri")
+        .join(t["file"].select(F.col("id").alias("file_id"), F.col("name").alias("_name")), "file_id")
+        .filter(F.col("uri").endswith(F.col("_name")))
+        .select("file_id").distinct()
+    )
+    found = located.join(ends, "file_id", "left_semi")
+    return found.select(F.col("file_id").alias("located_file_id"), *keys).distinct()
+
+
+LOOSE = ["name", "operation_id"]
+
+
 def rescue_candidates(t: Tables, loose: bool = True) -> DataFrame:
     """(remove_file_id, name, readset_id, located_file_id): located files of the same
     operation and name whose uri ends with the name, each once.
@@ -379,33 +397,38 @@ def rescue_candidates(t: Tables, loose: bool = True) -> DataFrame:
     ``loose`` allows any job; strict wants the same job and is empty by construction, since
     files with such a twin were set aside before.
     """
-    keys = ["name", "operation_id"] if loose else STRICT
-    ends = (
-        t["location"].select("file_id", "uri")
-        .join(t["file"].select(F.col("id").alias("file_id"), F.col("name").alias("_name")), "file_id")
-        .filter(F.col("uri").endswith(F.col("_name")))
-        .select("file_id").distinct()
-    )
-    found = _located(t).join(ends, "file_id", "left_semi")
-    found = found.select(F.col("file_id").alias("located_file_id"), *keys).distinct()
-    # One row per file and readset suffices: jobs of the removed side do not matter further.
-    wanted = unlocated_readset_files(t).select("file_id", "readset_id", *keys).distinct()
-    return (
-        wanted.join(found, keys)
-        .select(F.col("file_id").alias("remove_file_id"), "name", "readset_id", "located_file_id")
-        .distinct()
+    keys = LOOSE if loose else STRICT
+    located = cut(_located(t), "located")
+    # Jobs and operations drop out before readsets come in.
+    wanted = _untwinned(t, located).select("file_id", *keys).distinct()
+    pairs = wanted.join(_rescuers(t, located, keys), keys).select("file_id", "name", "located_file_id").distinct()
+    return t["readset_file"].join(pairs, "file_id").select(
+        F.col("file_id").alias("remove_file_id"), "name", "readset_id", "located_file_id"
     )
 
 
 def rescue_loose(t: Tables) -> Tables:
-    """Links moved to every located file found by name and operation; rescued files dropped."""
-    actions = cut(rescue_candidates(t, loose=True), "loose")
-    moved = actions.select("readset_id", F.col("located_file_id").alias("file_id"))
-    old = actions.select("readset_id", F.col("remove_file_id").alias("file_id")).distinct()
-    rf = add_links(t["readset_file"], moved).join(old, ["readset_id", "file_id"], "left_anti")
-    gone = actions.select(F.col("remove_file_id").alias("file_id")).distinct()
-    out = _drop_files({**t, "readset_file": rf}, gone)
-    return {"readset_file": rf, "job_file": out["job_file"], "file": out["file"]}
+    """Links moved to every located file found by name and operation; rescued files dropped.
+
+    Links to add and links to drop are worked out apart, so removed and located files of a
+    name never meet pair by pair.
+    """
+    located = cut(_located(t), "located")
+    rescuers = cut(_rescuers(t, located, LOOSE), "rescuers")
+    rescued = cut(
+        _untwinned(t, located).select("file_id", *LOOSE).distinct()
+        .join(rescuers.select(*LOOSE).distinct(), LOOSE, "left_semi"),
+        "rescued",
+    )
+    old = only_ids(t["readset_file"], rescued, "file_id", "file_id")
+    # A file no readset links to is not part of the rescue.
+    gone = rescued.select("file_id").distinct().join(old.select("file_id").distinct(), "file_id", "left_semi")
+    moved = (
+        old.join(rescued, "file_id").select("readset_id", *LOOSE).distinct()
+        .join(rescuers, LOOSE).select("readset_id", F.col("located_file_id").alias("file_id"))
+    )
+    # Rescued files are unlocated, so no added link can point at one of them.
+    return _drop_files({**t, "readset_file": add_links(t["readset_file"], moved)}, gone)
 
 
 # --- orphans --------------------------------------------------------------------------------

@@ -35,16 +35,18 @@ def small_or_plain(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def with_part(
-    rows: DataFrame, keys: Sequence[str], spread: Sequence[str], size: int = LIST_ROWS
+    rows: DataFrame, keys: Sequence[str], spread: Sequence[str], size: int = LIST_ROWS,
+    counted_on: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``part``: 0 for ordinary groups, a hash of ``spread`` for oversized ones.
 
     A following ``groupBy(*keys, "part")`` builds lists of about ``size`` rows at most, and
     a hot key is shuffled to as many tasks as it has parts.  The parts of a key together
     hold the whole group.  The counting pass reads the keys only and combines before its
-    shuffle; where no key is oversized it costs no join.
+    shuffle; where no key is oversized it costs no join.  ``counted_on`` holds the keys of at
+    least the same rows, where that is cheaper to read.
     """
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    counted = (rows if counted_on is None else counted_on).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     hot = counted.filter(F.col("_rows") > size)
     if hot.isEmpty():
         return rows.withColumn("part", F.lit(0))

@@ -129,7 +129,10 @@ def related_arrays(
     pairs = related_pairs(t, entity, kinds)
     if rows is not None:
         pairs = pairs.join(rows.select("id").distinct(), "id", "left_semi")
-    parted = with_part(pairs, ["id"], ["_fk"], size)
+    # Group sizes show in the link table alone; samples hang below specimens over two steps.
+    link = t.get(f"readset_{entity}")
+    keys = None if link is None else link.select(F.col(f"{entity}_id").alias("id"))
+    parted = with_part(pairs, ["id"], ["_fk"], size, keys)
     return parted.groupBy("id", "part").agg(
         *[_packed(parted, k, keep_nulls) for k in (kinds or all_kinds)]
     )
