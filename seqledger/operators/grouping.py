@@ -183,15 +183,22 @@ def replace_rows(table: DataFrame, changed: DataFrame, key: str = "id") -> DataF
     return kept.select(table.columns).unionByName(changed.select(table.columns))
 
 
+def _keys(ids: DataFrame, id_col: str, name: str) -> DataFrame:
+    """The ids to test against.  Foreign keys repeat and are made distinct (combined before
+    the shuffle), so that a hot one is not a hot partition; primary keys are so already."""
+    keys = ids.select(F.col(id_col).alias(name))
+    return keys if id_col == "id" else keys.distinct()
+
+
 def without_ids(table: DataFrame, ids: DataFrame, col: str = "id", id_col: str = "id") -> DataFrame:
     """Rows of ``table`` whose ``col`` is not among ``ids``; null never matches."""
-    gone = ids.select(F.col(id_col).alias("_gone")).distinct()
+    gone = _keys(ids, id_col, "_gone")
     return table.join(gone, table[col] == gone["_gone"], "left_anti")
 
 
 def only_ids(table: DataFrame, ids: DataFrame, col: str = "id", id_col: str = "id") -> DataFrame:
     """Rows of ``table`` whose ``col`` is among ``ids``."""
-    wanted = ids.select(F.col(id_col).alias("_wanted")).distinct()
+    wanted = _keys(ids, id_col, "_wanted")
     return table.join(wanted, table[col] == wanted["_wanted"], "left_semi")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from seqledger.operators import digests as d
 from seqledger.operators import related as p
 from seqledger.operators.rollup import rollup_metrics
+from seqledger.schemas import PIPELINE
 
 REQUEST = {"experiment_nucleic_acid_type": "DNA", "location_endpoint": "here", "specimen_name": ["P1"]}
 
@@ -24,7 +25,7 @@ def world(make, files=3):
         operation_config=[{"id": 1, "data": bytearray(b"text")}, {"id": 2, "data": bytearray(b"more")}],
         operation=[
             {"id": 1, "name": "run_processing", "operation_config_id": 1}, {"id": 2, "name": "x", "operation_config_id": 1, "cmd_line": "late"},
-            {"id": 3, "name": "genpipes", "operation_config_id": 2, "cmd_line": "go"},
+            {"id": 3, "name": PIPELINE, "operation_config_id": 2, "cmd_line": "go"},
         ],
         job=[{"id": 1, "operation_id": 1}],
         file=[{"id": i, "name": f"f{i}.bam", "type": "bam", "deliverable": True} for i in range(1, files + 1)],

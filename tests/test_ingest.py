@@ -26,7 +26,7 @@ def put(folder, name, doc):
 
 def run_doc(readsets, sample="S1", **more):
     return {
-        "operation_platform": "abacus", "project_name": "moh", "run_ext_id": None, "run_ext_src": None, "run_name": "run1",
+        "operation_platform": "abacus", "project_name": "demo", "run_ext_id": None, "run_ext_src": None, "run_name": "run1",
         "run_instrument": "nova", "run_date": "2022-01-02 03:04:05", "job_start": None, "job_stop": None,
         "specimen": [{"specimen_name": "P1", "specimen_cohort": "C", "specimen_institution": "I", "sample": [{
             "sample_name": sample, "sample_tumour": False, **more, "readset": [{
@@ -44,7 +44,7 @@ def pipe_doc(entries, sample="S1"):
     """entries: (readset, job name, file md5, metric value)."""
     names = list(dict.fromkeys(e[0] for e in entries))
     return {
-        "project_name": "MOH", "operation_config_name": "cfg", "operation_config_version": "1", "operation_config_md5sum": "m",
+        "project_name": "DEMO", "operation_config_name": "cfg", "operation_config_version": "1", "operation_config_md5sum": "m",
         "operation_config_data": "a=1", "operation_platform": "abacus", "operation_cmd_line": "run", "operation_name": "ignored",
         "sample": [{"sample_name": sample, "readset": [{"readset_name": r, "job": [{
             "job_name": j, "job_start": "2022-01-01 00:00:00", "job_stop": None, "job_status": "COMPLETED" if md5 else None,
@@ -57,7 +57,7 @@ def pipe_doc(entries, sample="S1"):
 @pytest.fixture(scope="module")
 def loaded(spark, make, tmp_path_factory):
     """Tables after one run-processing report with two readsets."""
-    base = make(project=[{"id": 7, "name": "MOH"}])
+    base = make(project=[{"id": 7, "name": "DEMO"}])
     folder = put(tmp_path_factory.mktemp("run"), "a", run_doc(["R1", "R2"], sample_alias=["x", "x", "y"]))
     out = ingest.ingest_run_processing(base, read_run_processing(spark, folder), AS_OF)
     assert out.errors.count() == 0
@@ -201,7 +201,7 @@ def move(readset, pairs, **more):
 def test_transfer_and_delivery(spark, loaded, tmp_path):
     folder = put(tmp_path / "t", "a", move("R1", [("abacus:///R1.bam", "beluga:///R1.bam")]))
     put(tmp_path / "t", "b", move("R1", [("abacus:///R2.bam", "beluga:///R2.bam")]))
-    out = ingest.ingest_transfer(loaded, read_transfer(spark, folder), AS_OF, project="moh")
+    out = ingest.ingest_transfer(loaded, read_transfer(spark, folder), AS_OF, project="demo")
     # The file of another readset is not found under this name.
     assert rows_of(out.errors, "doc", "code", "detail") == [(1, "source_missing", "abacus:///R2.bam")]
     path = str(tmp_path / "catalog")
@@ -210,25 +210,25 @@ def test_transfer_and_delivery(spark, loaded, tmp_path):
     assert rows_of(t["location"], "uri", "file_id", "endpoint") == [
         ("abacus:///R1.bam", 1, "abacus"), ("abacus:///R2.bam", 2, "abacus"), ("beluga:///R1.bam", 1, "beluga"),
     ]
-    loose = ingest.ingest_transfer(loaded, read_transfer(spark, folder), AS_OF, "moh", check_readset_name=False)
+    loose = ingest.ingest_transfer(loaded, read_transfer(spark, folder), AS_OF, "demo", check_readset_name=False)
     assert loose.errors.count() == 0 and loose.inserts["location"].count() == 2
 
     folder = put(tmp_path / "v", "a", move("R1", [("beluga:///R1.bam", "out:///R1.bam")]))
     put(tmp_path / "v", "b", move("R2", [("abacus:///R2.bam", "beluga:///R1.bam")], delete=False))
-    done = ingest.ingest_delivery(t, read_delivery(spark, folder), AS_OF, "moh")
+    done = ingest.ingest_delivery(t, read_delivery(spark, folder), AS_OF, "demo")
     after = done.tables(t)
     # Deleted as a source first, revived as a destination after; it stays with its old file.
     assert rows_of(after["location"], "uri", "file_id", "deleted") == [
         ("abacus:///R1.bam", 1, False), ("abacus:///R2.bam", 2, False), ("beluga:///R1.bam", 1, False), ("out:///R1.bam", 1, False),
     ]
     assert rows_of(after["file"], "id", "state") == [(1, "DELIVERED"), (2, "DELIVERED")]
-    only = ingest.ingest_delivery(t, read_delivery(spark, str(tmp_path / "v" / "a.json")), AS_OF, "moh").tables(t)
+    only = ingest.ingest_delivery(t, read_delivery(spark, str(tmp_path / "v" / "a.json")), AS_OF, "demo").tables(t)
     assert rows_of(only["location"].filter("deleted"), "uri") == [("beluga:///R1.bam",)]
 
 
 def test_run_processing_revives_and_moves_a_known_uri(spark, make, tmp_path):
     base = make(
-        project=[{"id": 1, "name": "MOH"}], file=[{"id": 1, "name": "old"}],
+        project=[{"id": 1, "name": "DEMO"}], file=[{"id": 1, "name": "old"}],
         location=[{"id": 1, "file_id": 1, "uri": "abacus:///R1.bam", "endpoint": "abacus", "deleted": True}],
     )
     folder = put(tmp_path / "d", "a", run_doc(["R1"]))
@@ -241,10 +241,10 @@ def test_stream_over_a_growing_folder_equals_one_batch(spark, loaded, tmp_path):
     write_tables(spark, sink, loaded)
     for name, readset in (("a", "R1"), ("b", "R2")):
         put(drop, name, move(readset, [(f"abacus:///{readset}.bam", f"beluga:///{readset}.bam")]))
-        stream = stream_ingest(spark, str(drop), "transfer", sink, str(tmp_path / "ck"), as_of=AS_OF, project="moh")
+        stream = stream_ingest(spark, str(drop), "transfer", sink, str(tmp_path / "ck"), as_of=AS_OF, project="demo")
         stream.awaitTermination()
     streamed = load_tables(spark, sink)
-    whole = ingest.ingest_transfer(loaded, read_transfer(spark, str(drop)), AS_OF, "moh").tables(loaded)
+    whole = ingest.ingest_transfer(loaded, read_transfer(spark, str(drop)), AS_OF, "demo").tables(loaded)
     assert rows_of(streamed["location"], "uri", "file_id") == rows_of(whole["location"], "uri", "file_id")
     assert rows_of(streamed["readset_job"], "readset_id", "job_id") == rows_of(whole["readset_job"], "readset_id", "job_id")
     assert rows_of(streamed["job_file"], "job_id", "file_id") == rows_of(whole["job_file"], "job_id", "file_id")
