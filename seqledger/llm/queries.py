@@ -29,3 +29,78 @@ def _op1(spark: SparkSession, folder: str) -> DataFrame:
     from .ngram_join import ngram_groups
 
     return ngram_groups(table(spark, folder, "documents"), k=4, percent=85)
+
+
+#: Words of op9 and their windows; a row number keeps repeated rows apart.
+_CONTAMINATION = r"""
+WITH item AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+pattern AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS m, w[i : i + least(len(w), 13) - 1] AS words
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+place AS (
+  SELECT r, m, i, w[i : i + m - 1] AS words
+  FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM doc, (SELECT DISTINCT m FROM pattern) WHERE len(w) >= m)),
+met AS (SELECT r, i, place.m, item_id FROM place JOIN pattern ON place.m = pattern.m AND place.words = pattern.words),
+hit AS (SELECT r, count(DISTINCT pos) AS n FROM (SELECT r, unnest(range(i, i + m)) AS pos FROM met) GROUP BY r),
+named AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM met) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(named.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+
+@query("op9_benchmark_decontamination", _CONTAMINATION)
+def _op9(spark: SparkSession, folder: str) -> DataFrame:
+    from .decontaminate import report
+
+    return report(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=13, share=20)
+
+
+@query("op10_language_id")
+def _op10(spark: SparkSession, folder: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, folder, "documents"))
+
+
+#: Lines of op7 by window over their normal form.
+_REPEATS = r"""
+WITH row_ AS (SELECT row_number() OVER () AS r, dense_rank() OVER (ORDER BY doc_id, text) AS same, doc_id, text FROM documents),
+line AS (
+  SELECT r, same, doc_id, pos, l, array_to_string(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS unit
+  FROM (SELECT r, same, doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM row_ WHERE text <> '')),
+ranked AS (
+  SELECT *, sum(length(l) + 1) OVER (PARTITION BY r ORDER BY pos) - length(l) - 1 AS first_char,
+    len(string_split(unit, ' ')) >= 8 AND dense_rank() OVER (PARTITION BY unit ORDER BY doc_id, same, pos) > 1 AS gone
+  FROM line),
+summed AS (
+  SELECT r, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(l)) FILTER (gone), 0) AS removed_chars,
+    coalesce(string_agg(CAST(first_char AS BIGINT)::VARCHAR || '-' || CAST(first_char + length(l) AS BIGINT)::VARCHAR, ',' ORDER BY pos) FILTER (gone), '') AS removed_spans,
+    coalesce(string_agg(l, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS rest
+  FROM ranked GROUP BY r)
+SELECT doc_id, CASE WHEN n_units IS NULL THEN text ELSE rest END AS text, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units,
+  CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(removed_chars, 0) AS BIGINT) AS removed_chars, coalesce(removed_spans, '') AS removed_spans
+FROM row_ LEFT JOIN summed USING (r)
+"""
+
+
+@query("op7_substring_dedup", _REPEATS)
+def _op7(spark: SparkSession, folder: str) -> DataFrame:
+    from .line_dedup import report
+
+    return report(table(spark, folder, "documents"))
+
+
+@query("op5_best_fit_packing")
+def _op5(spark: SparkSession, folder: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, folder, "documents"))
