@@ -104,3 +104,73 @@ def _op5(spark: SparkSession, folder: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, folder, "documents"))
+
+
+@query("op4_quality_rules")
+def _op4(spark: SparkSession, folder: str) -> DataFrame:
+    from .quality_rules import judge
+
+    return judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op2_quality_classifier")
+def _op2(spark: SparkSession, folder: str) -> DataFrame:
+    from .quality_net import score
+
+    return score(table(spark, folder, "documents"), table(spark, folder, "labels"), least=0.7)
+
+
+@query("op3_token_counts")
+def _op3(spark: SparkSession, folder: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(table(spark, folder, "documents"))
+
+
+@query("op8_html_extraction")
+def _op8(spark: SparkSession, folder: str) -> DataFrame:
+    from .wrapper import extract_pages
+
+    return extract_pages(table(spark, folder, "pages"))
+
+
+#: Pairs of op6 by list functions.
+_PREFERENCES = r"""
+WITH turn_ AS (
+  SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM turn_),
+ending AS (SELECT conv_id, max(n) AS last, arg_max(text, n) AS reply FROM numbered WHERE role = 'assistant' GROUP BY conv_id),
+pair AS (SELECT a.conv_id AS pair_id, a.last, b.reply AS other FROM ending a JOIN ending b ON b.conv_id = xor(a.conv_id, 1)),
+side AS (
+  SELECT pair_id, 1 AS chosen, n, role, text FROM pair JOIN numbered ON conv_id = pair_id
+  UNION ALL
+  SELECT pair_id, 0, n, role, CASE WHEN n = last THEN other ELSE text END FROM pair JOIN numbered ON conv_id = pair_id WHERE n <= last),
+paired AS (
+  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.n, r.n) AS n,
+    coalesce(c.role = r.role AND c.text = r.text, false) AS same
+  FROM (SELECT * FROM side WHERE chosen = 1) c FULL JOIN (SELECT * FROM side WHERE chosen = 0) r ON c.pair_id = r.pair_id AND c.n = r.n),
+common AS (SELECT pair_id, coalesce(min(n) FILTER (NOT same) - 1, count(*)) AS k FROM paired GROUP BY pair_id),
+piece AS (
+  SELECT side.*, k, n <= k AS shared, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line FROM side JOIN common USING (pair_id)),
+placed AS (
+  SELECT *, sum(length(line)) OVER (PARTITION BY pair_id, chosen, shared ORDER BY n) AS stop FROM piece),
+told AS (
+  SELECT pair_id, k,
+    coalesce(string_agg(line, '' ORDER BY n) FILTER (shared AND chosen = 1), '') AS prompt,
+    coalesce(string_agg(line, '' ORDER BY n) FILTER (NOT shared AND chosen = 1), '') AS good,
+    coalesce(string_agg(line, '' ORDER BY n) FILTER (NOT shared AND chosen = 0), '') AS bad,
+    coalesce(string_agg(CAST(stop - length(text) - 11 AS BIGINT)::VARCHAR || '-' || CAST(stop - 1 AS BIGINT)::VARCHAR, ',' ORDER BY n)
+      FILTER (NOT shared AND chosen = 1 AND role = 'assistant'), '') AS good_spans,
+    coalesce(string_agg(CAST(stop - length(text) - 11 AS BIGINT)::VARCHAR || '-' || CAST(stop - 1 AS BIGINT)::VARCHAR, ',' ORDER BY n)
+      FILTER (NOT shared AND chosen = 0 AND role = 'assistant'), '') AS bad_spans
+  FROM placed GROUP BY pair_id, k)
+SELECT pair_id, CAST(k AS BIGINT) AS n_common, prompt, good AS chosen, bad AS rejected, good_spans AS chosen_spans, bad_spans AS rejected_spans FROM told
+"""
+
+
+@query("op6_preference_formatting", _PREFERENCES)
+def _op6(spark: SparkSession, folder: str) -> DataFrame:
+    from .preference import format_pairs, swapped_replies
+
+    return format_pairs(swapped_replies(table(spark, folder, "conversations")))
