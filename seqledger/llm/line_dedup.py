@@ -57,7 +57,7 @@ REMOVED = "array<struct<start: bigint, end: bigint>>"
 REMOVED_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _cut(names: list[str], text_at: int, separator: str):
+def _cut(names: list[str], added: list[str], text_at: int, separator: str):
     """Takes the listed units out of the texts; adds how many units there were and what went."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +81,7 @@ def _cut(names: list[str], text_at: int, separator: str):
                 texts[i] = separator.join(kept)
                 removed.append(spans)
             columns[text_at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, REMOVED_ARROW)], [*names, "n", "spans"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, REMOVED_ARROW)], [*names, *added])
 
     return run
 
@@ -113,7 +113,7 @@ def remove_repeats(docs: DataFrame, separator: str = "\n", least_words: int = LE
     fields = [T.StructField(f.name, T.StringType(), True) if f.name == text_col else f for f in docs.schema.fields]
     added = [T.StructField(counts, T.LongType()), T.StructField(spans, T._parse_datatype_string(REMOVED))]
     names = docs.columns
-    return out.mapInArrow(_cut(names, names.index(text_col), separator), T.StructType([*fields, *added]))
+    return out.mapInArrow(_cut(names, [counts, spans], names.index(text_col), separator), T.StructType([*fields, *added]))
 
 
 def report(docs: DataFrame) -> DataFrame:

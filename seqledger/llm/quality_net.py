@@ -79,11 +79,11 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
     """The table of unit word vectors, context and index part side by side; BUCKETS rows at any size."""
     dims = [f"d{i}" for i in range(DIM)]
     sums = texts.select("text").mapInArrow(_contexts, "bucket long, times double, " + ", ".join(f"{d} double" for d in dims))
-    sums = sums.groupBy("bucket").agg(F.sum("times").alias("times"), *[F.sum(d).alias(d) for d in dims]).collect()
+    sums = sums.groupBy("bucket").agg(F.sum("times").alias("times"), F.array(*[F.sum(d) for d in dims]).alias("sums")).collect()
     context, times = np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS)
     for r in sums:
         times[r["bucket"]] = r["times"]
-        context[r["bucket"]] = r[2:]
+        context[r["bucket"]] = r["sums"]
     # What all words share says nothing: it is taken off before the vectors get unit length.
     context -= np.outer(times, context.sum(axis=0) / max(times.sum(), 1))
     context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
@@ -179,7 +179,7 @@ def score(docs: DataFrame, labels: DataFrame, least: float = 0.7, id_col: str =
     known = sorted(known.groupBy("order").agg(F.min("quality").alias("y"), F.min("x").alias("x")).collect(), key=lambda r: r["order"])
     y = np.array([r["y"] for r in known], np.float64)
     network, share = None, float(y.mean()) if len(y) else 0.5
-    if 0 < share < 1:
+    if len(y) and 0 < share < 1:
         network = Network(np.array([r["x"] for r in known]), y, np.array([r["order"] % 5 == 0 for r in known]))
     fitted = context.broadcast(network)
 
