@@ -3,8 +3,9 @@
 Documents with the same set are one set of the join. Sets meet in tiles: one tile holds the
 sets of one size band, and of the band below, that share a shingle of their prefixes. Prefixes
 take the rare shingles first; any two sets that reach the threshold share one, so no link is
-lost. Inside a tile hashed parity bitmaps bound the overlap from above, and only pairs within
-the bound go on to the exact intersection of their sorted arrays.
+lost. Inside a tile hashed parity bitmaps bound the overlap from above, and once more wider ones
+for the pairs of all tiles; only pairs within the bounds go on to the exact intersection of their
+sorted arrays.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,9 @@ from ..session import cut
 from .components import components
 from .words import mix, shingle_sets
 
-#: Longs of a set's bitmap.
-BITMAP = 4
+#: Longs of the bitmap that goes through the tiles, and cells at most of the wide one, which has
+#: about one cell for each member and is looked up for the pairs that a tile lets through.
+BITMAP, WIDE = 4, 1 << 16
 #: A shingle counted so often in one chunk of texts is reported as frequent, and so many of the
 #: most frequent are known to all tasks. Both only order the prefixes; the links are the same.
 SEEN, FREQUENT = 3, 1 << 17
@@ -40,10 +43,28 @@ def _prints(values: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def _parity(values: np.ndarray, cells: int) -> np.ndarray:
+    """Parity of the number of members in each of ``cells`` cells, a power of two, as bytes."""
+    odd = np.bincount((mix(values) >> np.uint64(40)).astype(np.int64) & (cells - 1), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
 def _bitmap(values: np.ndarray) -> list[int]:
-    """Parity of the number of members in each of 64 * BITMAP cells."""
-    cells = np.bincount((mix(values) >> np.uint64(40)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
-    return np.packbits(cells.astype(np.uint8)).view(np.int64).tolist()
+    return _parity(values, 64 * BITMAP).view(np.int64).tolist()
+
+
+def _wide(values: np.ndarray) -> bytes:
+    return _parity(values, min(WIDE, max(64, 1 << (len(values) - 1).bit_length()))).tobytes()
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """Cells whose parities differ; the larger bitmap is folded to the size of the other."""
+    p, q = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
 
 
 def _summaries(k: int):
@@ -105,30 +126,43 @@ def _prefixes(k: int, percent: int, frequent, counts):
                     weight = np.where(known[at] == values, often[at], 0)
                     if weight.any():
                         prefix = values[np.lexsort((values, weight))]
-                rows.append((*_prints(values), ids[i], n, *_bitmap(values), prefix[:take].astype(np.int64)))
-            kinds = [pa.int64()] * (4 + BITMAP) + [pa.list_(pa.int64())]
+                rows.append((*_prints(values), ids[i], n, *_bitmap(values), _wide(values), prefix[:take].astype(np.int64)))
+            kinds = [pa.int64()] * (4 + BITMAP) + [pa.binary(), pa.list_(pa.int64())]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(columns, kinds, strict=True)],
-                ["a", "b", "doc_id", "n", *[f"s{i}" for i in range(BITMAP)], "prefix"])
+                ["a", "b", "doc_id", "n", *[f"s{i}" for i in range(BITMAP)], "wide", "prefix"])
 
     return run
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) with the text compressed: the exact check moves texts twice."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        packed = [press((x or "").encode()) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "text"])
+
+
 def _verified(k: int, percent: int):
     """The pairs (x, y) whose exact intersection reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def members(raw: bytes) -> np.ndarray:
+            return next(shingle_sets(pa.array([unpack(raw)], pa.binary()), k))[1]
+
         for batch in batches:
             x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            right = dict(shingle_sets(batch.column("text_y"), k))
             keep: list[int] = []
-            left = batch.column("text_x")
+            left, right = batch.column("text_x"), batch.column("text_y")
             for i in range(batch.num_rows):
                 if last[0] != x[i]:
-                    last = (x[i], next(shingle_sets(left.slice(i, 1), k))[1])
-                p, q = (last[1], right[i]) if len(last[1]) <= len(right[i]) else (right[i], last[1])
+                    last = (x[i], members(left[i].as_py()))
+                other = members(right[i].as_py())
+                p, q = (last[1], other) if len(last[1]) <= len(other) else (other, last[1])
                 if len(p):
                     at = np.minimum(np.searchsorted(q, p), len(q) - 1)
                     both = int(np.count_nonzero(q[at] == p))
@@ -146,11 +180,31 @@ def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def _check(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    right = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("text_y"))
-    left = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x"))
-    full = pairs.select("x", "y").join(right, "y").join(left, "x").select("x", "y", "text_x", "text_y")
-    return full.mapInArrow(_verified(k, percent), "x long, y long")
+def _possible(percent: int):
+    """The pairs (x, y) that their wide bitmaps let reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, p, q = (batch.column(c).to_pylist() for c in ("n_x", "n_y", "wide_x", "wide_y"))
+            keep = [(100 + percent) * (a + b - _differing(u, v)) >= 2 * percent * (a + b) for a, b, u, v in zip(n, m, p, q, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _check(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links among ``pairs``: bounded by the wide bitmaps, then by intersection of the sets."""
+    wide = sets.select("id", "n", "wide")
+    near = pairs.join(wide.select(F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("wide").alias("wide_x")), "x")
+    near = near.join(wide.select(F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("wide").alias("wide_y")), "y")
+    near = cut(near.mapInArrow(_possible(percent), "x long, y long").distinct(), "near")
+    ids = cut(near.select(F.col("x").alias("doc_id")).unionByName(near.select(F.col("y").alias("doc_id"))).distinct(), "ids")
+    texts = only_ids(docs, ids).mapInArrow(_compressed, "doc_id long, text binary")
+    # Of rows that repeat a doc_id each may be the one of the set; all are checked.
+    texts = cut(texts.distinct(), "texts")
+    full = near.join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("text_y")), "y")
+    full = full.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x")), "x")
+    return cut(full.select("x", "y", "text_x", "text_y").mapInArrow(_verified(k, percent), "x long, y long"), "links")
 
 
 def _bounded(p: str, q: str, percent: int) -> str:
@@ -175,7 +229,7 @@ def ngram_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "
 
     A null or empty text has no shingles and is its own component. A row without doc_id keeps its
     n_shingles, has a null component_id and links nothing. Rows that repeat a doc_id give one row
-    each. Other columns of ``docs`` are not read. An empty table gives no rows.
+    each and are one document, with the links of any of its texts. Other columns of ``docs`` are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -190,10 +244,10 @@ def ngram_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "
     counts = spark.sparkContext.broadcast(np.array([r["n"] for r in common], np.int64))
 
     # One row per distinct set, named by its least document.
-    kinds = "a long, b long, doc_id long, n long, " + "".join(f"s{i} long, " for i in range(BITMAP)) + "prefix array<long>"
+    kinds = "a long, b long, doc_id long, n long, " + "".join(f"s{i} long, " for i in range(BITMAP)) + "wide binary, prefix array<long>"
     sets = docs.mapInArrow(_prefixes(k, percent, frequent, counts), kinds).groupBy("a", "b").agg(
         F.min("doc_id").alias("id"), F.first("n").alias("n"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(BITMAP)],
-        F.first("prefix").alias("prefix"))
+        F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
     sets = cut(sets, "sets")
     names = sets.select("a", "b", "id")
 
@@ -201,8 +255,7 @@ def ngram_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "
     entries = sets.select("id", F.explode("prefix").alias("h"))
     shared = entries.groupBy("h").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last")
     entries = cut(entries.join(shared.select("h", "lead"), "h"), "entries")
-    texts = cut(only_ids(docs, cut(entries.select(F.col("id").alias("doc_id")).distinct(), "ids")).dropDuplicates(["doc_id"]), "texts")
-    slim = sets.drop("prefix", "a", "b")
+    slim = sets.drop("prefix", "wide", "a", "b")
     bounded = _bounded("p", "q", percent)
 
     # First each set meets the set that leads most of its tiles. That joins large groups of near
@@ -213,7 +266,7 @@ def ngram_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "
         lead.join(slim.alias("p"), "id").join(slim.select(F.col("id").alias("lead_id"), "n", *[f"s{i}" for i in range(BITMAP)]).alias("q"), F.col("lead") == F.col("lead_id"))
         .filter(bounded).select(F.col("lead").alias("x"), lead["id"].alias("y"))
     )
-    links = cut(_check(first, texts, k, percent), "links")
+    links = _check(first, sets, docs, k, percent)
     groups = components(links, "x", "y")
 
     # Then all pairs of a tile that are not in one group yet.
@@ -236,7 +289,7 @@ def ngram_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "
         "p.h = q.h AND p.band = q.tile AND p.part = q.part AND p.g <> q.g "
         f"AND (p.n < q.n OR (p.n = q.n AND p.id < q.id)) AND {bounded}"))
     pairs = cut(met.select(F.least("p.id", "q.id").alias("x"), F.greatest("p.id", "q.id").alias("y")).distinct(), "pairs")
-    more = cut(_check(pairs, texts, k, percent), "links")
+    more = _check(pairs, sets, docs, k, percent)
     groups = cut(components(links.unionByName(more), "x", "y"), "groups")
 
     named = names.join(groups, F.col("id") == F.col("node"), "left").select("a", "b", F.coalesce("component", "id").alias("component_id"))
@@ -245,3 +298,19 @@ def ngram_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with all its columns: of each group the document of the least doc_id.
+
+    Of rows that repeat a doc_id one stays; rows without doc_id all stay.
+    """
+    found = cut(ngram_groups(docs.select("doc_id", "text"), k, percent).select("doc_id", "component_id"), "groups")
+    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    few = gone.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    again = found.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    named = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(kept.filter("doc_id is null"))
