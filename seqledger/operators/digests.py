@@ -16,7 +16,7 @@ from ..functions import after_scheme, as_text, json_field
 from ..schemas import NUCLEIC_ACID_TYPES, PIPELINE, RUN_PROCESSING
 from ..session import cut
 from .entities import Ids, Tables, _list
-from .grouping import LIST_ROWS, only_ids, with_part
+from .grouping import only_ids
 
 SELECTORS = ("specimen", "sample", "readset")
 
@@ -429,15 +429,28 @@ def delivery_warnings(t: Tables, readset_ids: DataFrame, endpoint: str) -> DataF
     return missing.unionByName(bare)
 
 
-def digest_delivery(
-    t: Tables, project_id: Ids, request: dict, size: int = LIST_ROWS
-) -> dict[str, DataFrame]:
+def nest_delivery(readsets: DataFrame) -> DataFrame:
+    """One nested row per specimen: sample[] of readset[] of file[] and metric[].
+
+    The shape of the report for a selection that is handed on as one document; bulk work keeps
+    the readset rows.
+    """
+    top = ["location_endpoint", "experiment_nucleic_acid_type", "specimen_name", "cohort", "institution"]
+    readset = F.struct("id", "copy", "name", "file", "metric")
+    per_sample = readsets.groupBy(*top, "sample_name", "tumour").agg(
+        F.array_sort(F.collect_list(readset)).alias("readset")
+    )
+    sample = F.struct(F.col("sample_name").alias("name"), "tumour", "readset")
+    nested = per_sample.groupBy(*top).agg(F.array_sort(F.collect_list(sample)).alias("sample"))
+    return nested.withColumnRenamed("specimen_name", "name")
+
+
+def digest_delivery(t: Tables, project_id: Ids, request: dict) -> dict[str, DataFrame]:
     """The delivery report.
 
-    ``operation``: command line and config text per config.  ``specimen``: one nested row per
-    specimen — sample[] of readset[] of file[] and metric[].  A specimen with more than
-    ``size`` entries is spread over several rows (``part``); a sample or readset can then
-    appear in more than one, each time with another share of its entries.  ``warnings``.
+    ``operation``: command line and config text per config.  ``readset``: one row per selected
+    readset with file[] and metric[] and the names above it, at any size of the selection.
+    ``specimen``: the same nested per specimen.  ``warnings``.
     """
     endpoint = request.get("location_endpoint")
     selected, rejected = union_selectors(t, "readset", request, project_id)
@@ -464,26 +477,18 @@ def digest_delivery(
         .cast(metric_t).alias("m"),
     )
     entries = head.join(files.unionByName(metrics), "readset_id", "left")
-    entries = with_part(entries, ["specimen_name"], ["readset_id", "copy", "item"], size)
-    top = ["specimen_name", "cohort", "institution", "part"]
-    per_readset = entries.groupBy(*top, "sample_name", "tumour", "readset_id", "readset_name", "copy").agg(
+    top = ["specimen_name", "cohort", "institution", "sample_name", "tumour"]
+    rows = entries.groupBy(*top, "readset_id", "readset_name", "copy").agg(
         F.array_sort(F.collect_list("f")).alias("file"),
         F.array_sort(F.collect_list("m")).alias("metric"),
+    ).select(
+        F.lit(endpoint).alias("location_endpoint"),
+        F.lit(nucleic_acid_type(request)).alias("experiment_nucleic_acid_type"),
+        *top, F.col("readset_id").alias("id"), "copy", F.col("readset_name").alias("name"), "file", "metric",
     )
-    readset = F.struct(
-        F.col("readset_id").alias("id"), F.col("copy"), F.col("readset_name").alias("name"), "file", "metric"
-    )
-    per_sample = per_readset.groupBy(*top, "sample_name", "tumour").agg(
-        F.array_sort(F.collect_list(readset)).alias("readset")
-    )
-    sample = F.struct(F.col("sample_name").alias("name"), "tumour", "readset")
-    specimen = per_sample.groupBy(*top).agg(F.array_sort(F.collect_list(sample)).alias("sample"))
     return {
         "operation": delivery_operations(t, readsets),
-        "specimen": specimen.select(
-            F.lit(endpoint).alias("location_endpoint"),
-            F.lit(nucleic_acid_type(request)).alias("experiment_nucleic_acid_type"),
-            F.col("specimen_name").alias("name"), "cohort", "institution", "part", "sample",
-        ),
+        "readset": rows,
+        "specimen": nest_delivery(rows),
         "warnings": rejected.unionByName(delivery_warnings(t, readsets, endpoint)),
     }

@@ -16,10 +16,6 @@ from pyspark.sql.window import Window
 
 from ..session import cut
 
-# Longest list one output row carries; a longer one continues in the next part.
-LIST_ROWS = 100_000
-# Hot keys are broadcast up to this many, joined by shuffle beyond it.
-BROADCAST_ROWS = 100_000
 # Documents per numbering bucket.
 BUCKET_DOCS = 256
 
@@ -29,37 +25,6 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]
     return reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in pairs])
 
 
-def small_or_plain(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast after counting that it is small; else leave it as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def with_part(
-    rows: DataFrame, keys: Sequence[str], spread: Sequence[str], size: int = LIST_ROWS,
-    counted_on: DataFrame | None = None,
-) -> DataFrame:
-    """Add ``part``: 0 for ordinary groups, a hash of ``spread`` for oversized ones.
-
-    A following ``groupBy(*keys, "part")`` builds lists of about ``size`` rows at most, and
-    a hot key is shuffled to as many tasks as it has parts.  The parts of a key together
-    hold the whole group.  The counting pass reads the keys only and combines before its
-    shuffle; where no key is oversized it costs no join.  ``counted_on`` holds the keys of at
-    least the same rows, where that is cheaper to read.
-    """
-    counted = (rows if counted_on is None else counted_on).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = counted.filter(F.col("_rows") > size)
-    if hot.isEmpty():
-        return rows.withColumn("part", F.lit(0))
-    renamed = hot.select(
-        *[F.col(k).alias(f"_hot_{k}") for k in keys],
-        F.ceil(F.col("_rows") / size).cast("int").alias("_parts"),
-    )
-    renamed = small_or_plain(cut(renamed, "hot"))
-    joined = rows.join(renamed, null_safe(rows, renamed, [(k, f"_hot_{k}") for k in keys]), "left")
-    part = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int"), F.lit(0))
-    return joined.withColumn("part", part).drop("_parts", *[f"_hot_{k}" for k in keys])
-
-
 def allocate_ids(rows: DataFrame, existing: DataFrame, pos: str = "pos") -> DataFrame:
     """Number new rows from ``max(existing.id) + 1`` in document order.
 

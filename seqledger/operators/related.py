@@ -1,8 +1,8 @@
 """Entity rows with the ids of related entities.
 
-A related id counts unless its entity is both deprecated and deleted.  ``related_pairs``
-gives the relation in long form; ``with_related`` packs it into sorted arrays, where an
-entity with very many related ids continues in further rows (``part`` 0, 1, ...).
+A related id counts unless its entity is both deprecated and deleted.  ``related_ids`` gives
+the relation in long form, one row per related id, for any number of them; ``with_related``
+packs it into sorted arrays for a selection of entities that are shown one by one.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .entities import Tables
-from .grouping import LIST_ROWS, with_part
 
 
 def _seen(df: DataFrame) -> Column:
@@ -120,41 +119,46 @@ def _packed(pairs: DataFrame, kind: str, keep_nulls: bool) -> Column:
     return F.array_sort(F.collect_set(kind)).alias(name)
 
 
-def related_arrays(
-    t: Tables, entity: str, kinds: tuple[str, ...] | None = None, size: int = LIST_ROWS,
-    rows: DataFrame | None = None,
+def related_ids(
+    t: Tables, entity: str, kinds: tuple[str, ...] | None = None, rows: DataFrame | None = None
 ) -> DataFrame:
-    """``id``, ``part`` and one sorted array per related kind, for entities that have any."""
+    """(id, kind, related_id) in long form, of all entities or of ``rows``.
+
+    Each related id once per entity and kind; where the kind keeps hidden ids, each of those
+    is a row with a null.  A hub is many rows, never a list.
+    """
     all_kinds, keep_nulls = RELATED[entity]
     pairs = related_pairs(t, entity, kinds)
     if rows is not None:
         pairs = pairs.join(rows.select("id").distinct(), "id", "left_semi")
-    # Group sizes show in the link table alone; samples hang below specimens over two steps.
-    link = t.get(f"readset_{entity}")
-    keys = None if link is None else link.select(F.col(f"{entity}_id").alias("id"))
-    parted = with_part(pairs, ["id"], ["_fk"], size, keys)
-    return parted.groupBy("id", "part").agg(
-        *[_packed(parted, k, keep_nulls) for k in (kinds or all_kinds)]
-    )
+    each = F.explode(F.array(*[
+        F.struct(F.lit(k.removesuffix("_id")).alias("kind"), F.col(k).alias("related_id")) for k in (kinds or all_kinds)
+    ]))
+    long = pairs.select("id", each.alias("r")).select("id", "r.kind", "r.related_id")
+    return long if keep_nulls else long.filter(F.col("related_id").isNotNull()).distinct()
 
 
 def with_related(
-    t: Tables, entity: str, rows: DataFrame | None = None, kinds: tuple[str, ...] | None = None,
-    size: int = LIST_ROWS,
+    t: Tables, entity: str, rows: DataFrame | None = None, kinds: tuple[str, ...] | None = None
 ) -> DataFrame:
-    """Entity rows plus their arrays of related ids; entities with none get empty arrays."""
+    """Entity rows plus their arrays of related ids; entities with none get empty arrays.
+
+    For a selection that is looked at row by row: an array is as long as the entity has
+    related ids.  Bulk work takes ``related_ids``.
+    """
     rows = t[entity] if rows is None else rows
     if entity == "readset":
         return with_specimen_id(t, rows)
-    kinds = kinds or RELATED[entity][0]
+    all_kinds, keep_nulls = RELATED[entity]
+    kinds = kinds or all_kinds
+    pairs = related_pairs(t, entity, kinds)
     # The whole table needs no restriction of the pairs; a selection of it does.
-    chosen = None if rows is t[entity] else rows
-    arrays = related_arrays(t, entity, kinds, size, chosen)
+    if rows is not t[entity]:
+        pairs = pairs.join(rows.select("id").distinct(), "id", "left_semi")
+    arrays = pairs.groupBy("id").agg(*[_packed(pairs, k, keep_nulls) for k in kinds])
     empty = F.array().cast("array<bigint>")
     return rows.join(arrays, "id", "left").select(
-        *rows.columns,
-        F.coalesce("part", F.lit(0)).alias("part"),
-        *[F.coalesce(f"{k}s", empty).alias(f"{k}s") for k in kinds],
+        *rows.columns, *[F.coalesce(f"{k}s", empty).alias(f"{k}s") for k in kinds]
     )
 
 

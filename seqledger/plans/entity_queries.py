@@ -280,39 +280,35 @@ def _list_sql(col: str) -> str:
 
 
 @query("specimen_sample_ids", "P-1", f"""
-SELECT p.id, 0 AS part, {_list_sql('s.id')} AS sample_ids
-FROM e_specimen p LEFT JOIN (SELECT * FROM e_sample WHERE {SEEN}) s ON s.specimen_id = p.id GROUP BY p.id
+SELECT specimen_id AS id, 'sample' AS kind, id AS related_id FROM e_sample WHERE {SEEN}
 """)
 def specimen_sample_ids(t):
-    return p.with_related(t, "specimen", kinds=("sample_id",)).select("id", "part", _text("sample_ids"))
+    return p.related_ids(t, "specimen", ("sample_id",))
 
 
 @query("specimen_readset_ids", "P-2", f"""
-SELECT p.id, 0 AS part, {_list_sql('r.id')} AS readset_ids
-FROM e_specimen p LEFT JOIN e_sample s ON s.specimen_id = p.id
-LEFT JOIN (SELECT * FROM e_readset WHERE {SEEN}) r ON r.sample_id = s.id GROUP BY p.id
+SELECT specimen_id AS id, 'sample' AS kind, id AS related_id FROM e_sample WHERE {SEEN}
+UNION ALL
+SELECT s.specimen_id, 'readset', r.id FROM e_sample s JOIN e_readset r ON r.sample_id = s.id WHERE NOT (r.deprecated AND r.deleted)
 """)
 def specimen_readset_ids(t):
-    return p.with_related(t, "specimen").select("id", "part", _text("readset_ids"))
+    return p.related_ids(t, "specimen")
 
 
-def _null_list(owner: str, links: str) -> str:
-    """Lists that keep hidden ids as nulls, which come last."""
-    return f"""
-, hit AS ({links})
-SELECT o.id, 0 AS part, coalesce(array_to_string(list_concat(
-    coalesce(CAST(list_sort(list(h.rid) FILTER (WHERE h.rid IS NOT NULL AND h.shown)) AS VARCHAR[]), []),
-    coalesce(list_transform(list(h.rid) FILTER (WHERE h.rid IS NOT NULL AND NOT h.shown), lambda x: 'null'), [])), ','), '') AS readset_ids
-FROM {owner} o LEFT JOIN hit h ON h.id = o.id GROUP BY o.id
-"""
+SHOWN = "CASE WHEN NOT (r.deprecated AND r.deleted) THEN r.id END"
 
 
-SHOWN = "NOT (r.deprecated AND r.deleted) AS shown"
+def _linked(entity: str) -> str:
+    """Linked readsets, hidden ones as nulls."""
+    return f"""
+SELECT l.{entity}_id AS id, 'readset' AS kind, {SHOWN} AS related_id
+FROM e_readset_{entity} l JOIN e_readset r ON r.id = l.readset_id
+"""
 
 
-@query("sample_readset_ids", "P-3", _null_list("e_sample", f"SELECT r.sample_id AS id, r.id AS rid, {SHOWN} FROM e_readset r"))
+@query("sample_readset_ids", "P-3", f"SELECT r.sample_id AS id, 'readset' AS kind, {SHOWN} AS related_id FROM e_readset r")
 def sample_readset_ids(t):
-    return p.with_related(t, "sample").select("id", "part", _text("readset_ids"))
+    return p.related_ids(t, "sample")
 
 
 @query("readset_specimen_id", "P-4", """
@@ -323,16 +319,14 @@ def readset_specimen_id(t):
     return p.with_specimen_id(t).select("id", "specimen_id")
 
 
-@query("operation_readset_ids", "P-5", _null_list("e_operation", f"""
-SELECT l.operation_id AS id, r.id AS rid, {SHOWN} FROM e_readset_operation l JOIN e_readset r ON r.id = l.readset_id"""))
+@query("operation_readset_ids", "P-5", _linked("operation"))
 def operation_readset_ids(t):
-    return p.with_related(t, "operation").select("id", "part", _text("readset_ids"))
+    return p.related_ids(t, "operation")
 
 
-@query("job_readset_ids", "P-6", _null_list("e_job", f"""
-SELECT l.job_id AS id, r.id AS rid, {SHOWN} FROM e_readset_job l JOIN e_readset r ON r.id = l.readset_id"""))
+@query("job_readset_ids", "P-6", _linked("job"))
 def job_readset_ids(t):
-    return p.with_related(t, "job").select("id", "part", _text("readset_ids"))
+    return p.related_ids(t, "job")
 
 
 @query("job_readset_links", "P-6", """
@@ -343,39 +337,37 @@ def job_readset_links(t):
 
 
 def _three(entity: str) -> str:
-    def part(col: str) -> str:
-        return f"""CASE WHEN count(l.{entity}_id) = 0 THEN '' ELSE {_list_sql(col)} END"""
-
     return f"""
-SELECT m.id, 0 AS part, {part('r.id')} AS readset_ids, {part('s.id')} AS sample_ids, {part('p.id')} AS specimen_ids
-FROM e_{entity} m LEFT JOIN e_readset_{entity} l ON l.{entity}_id = m.id
-LEFT JOIN e_readset r0 ON r0.id = l.readset_id LEFT JOIN (SELECT * FROM e_readset WHERE {SEEN}) r ON r.id = r0.id
-LEFT JOIN e_sample s0 ON s0.id = r0.sample_id LEFT JOIN (SELECT * FROM e_sample WHERE {SEEN}) s ON s.id = s0.id
-LEFT JOIN (SELECT * FROM e_specimen WHERE {SEEN}) p ON p.id = s0.specimen_id GROUP BY m.id
+, up AS (
+  SELECT l.{entity}_id AS id, r.id AS readset, r.deprecated AND r.deleted AS r_hidden, s.id AS sample, s.deprecated AND s.deleted AS s_hidden,
+    p.id AS specimen, p.deprecated AND p.deleted AS p_hidden
+  FROM e_readset_{entity} l JOIN e_readset r ON r.id = l.readset_id
+  LEFT JOIN e_sample s ON s.id = r.sample_id LEFT JOIN e_specimen p ON p.id = s.specimen_id)
+SELECT id, 'readset' AS kind, readset AS related_id FROM up WHERE NOT r_hidden
+UNION SELECT id, 'sample', sample FROM up WHERE NOT s_hidden
+UNION SELECT id, 'specimen', specimen FROM up WHERE NOT p_hidden
 """
 
 
 @query("metric_related_ids", "P-7", _three("metric"))
 def metric_related_ids(t):
-    rows = p.with_related(t, "metric")
-    return rows.select("id", "part", *[_text(f"{k}s") for k in p.RELATED["metric"][0]])
+    return p.related_ids(t, "metric")
 
 
 @query("file_related_ids", "P-8", _three("file"))
 def file_related_ids(t):
-    rows = p.with_related(t, "file")
-    return rows.select("id", "part", *[_text(f"{k}s") for k in p.RELATED["file"][0]])
+    return p.related_ids(t, "file")
 
 
 @query("files_with_related_ids", "P-8, Q-3", REACH + f"""
-SELECT f.id, f.name, 0 AS part, {_list_sql('l.readset_id')} AS readset_ids
+SELECT f.id, f.name, {_list_sql('l.readset_id')} AS readset_ids
 FROM e_file f JOIN e_readset_file l ON l.file_id = f.id JOIN (SELECT * FROM e_readset WHERE {SEEN}) r ON r.id = l.readset_id
 WHERE f.deliverable AND f.id IN (SELECT file_id FROM e_readset_file JOIN path USING (readset_id) WHERE project_id = 1)
 GROUP BY f.id, f.name
 """)
 def files_with_related_ids(t):
     rows = q.files(t, 1, deliverable=True)
-    return p.with_related(t, "file", rows, ("readset_id",)).select("id", "name", "part", _text("readset_ids"))
+    return p.with_related(t, "file", rows, ("readset_id",)).select("id", "name", _text("readset_ids"))
 
 
 @query("serialized_locations", "P-9", """
@@ -422,8 +414,8 @@ def comma_lists(t):
 
 @query("scalar_text", "F-3, F-5, F-7, F-8, F-12", """
 SELECT id, upper(endpoint) AS up, regexp_replace(uri, '[0-9]+/', '#/', 'g') AS masked,
-  regexp_extract(uri, '/d/([0-9]+)/', 1) AS number, replace(uri, 'abacus', 'ab') AS short,
-  starts_with(uri, 'beluga') AS starts, ends_with(uri, '.bam') AS ends,
+  regexp_extract(uri, '/d/([0-9]+)/', 1) AS number, replace(uri, 'alpha', 'ab') AS short,
+  starts_with(uri, 'bravo') AS starts, ends_with(uri, '.bam') AS ends,
   split_part(uri, ':///', 1) AS before, split_part(uri, '://', 2) AS after, split_part(uri, '/', 6) AS leaf
 FROM e_location
 """)
@@ -432,8 +424,8 @@ def scalar_text(t):
     return t["location"].select(
         "id", upper_name(F.col("endpoint")).alias("up"), F.regexp_replace(uri, "[0-9]+/", "#/").alias("masked"),
         F.regexp_extract(uri, "/d/([0-9]+)/", 1).alias("number"),
-        F.replace(uri, F.lit("abacus"), F.lit("ab")).alias("short"),
-        uri.startswith("beluga").alias("starts"), uri.endswith(".bam").alias("ends"),
+        F.replace(uri, F.lit("alpha"), F.lit("ab")).alias("short"),
+        uri.startswith("bravo").alias("starts"), uri.endswith(".bam").alias("ends"),
         before_triple_slash(uri).alias("before"), after_scheme(uri).alias("after"),
         first_of(F.slice(F.split(uri, "/"), -1, 1)).alias("leaf"),
     )

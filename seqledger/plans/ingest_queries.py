@@ -46,11 +46,11 @@ def read_run_processing_reports(t):
 
 
 @query("read_transfer", "S-3", NAMES + """
-SELECT readset_name, 'abacus:///run/' || readset_id || '/' || file_id AS src, 'beluga:///run/' || readset_id || '/' || file_id AS dest
+SELECT readset_name, 'alpha:///run/' || readset_id || '/' || file_id AS src, 'bravo:///run/' || readset_id || '/' || file_id AS dest
 FROM named JOIN e_readset_file USING (readset_id)
 """)
 def read_transfer_reports(t):
-    docs = read_transfer(t["project"].sparkSession, reports.move_reports(t, "abacus", "beluga"), multi_line=False)
+    docs = read_transfer(t["project"].sparkSession, reports.move_reports(t, "alpha", "bravo"), multi_line=False)
     rows = docs.select(F.explode("readset").alias("r")).select("r.readset_name", F.explode("r.file").alias("f"))
     return rows.select("readset_name", F.col("f.src_location_uri").alias("src"), F.col("f.dest_location_uri").alias("dest"))
 
@@ -70,7 +70,7 @@ def read_pipeline_reports(t):
 SELECT readset_name, readset_id % 2 = 0 AS "delete", count(*) AS files FROM named JOIN e_readset_file USING (readset_id) GROUP BY ALL
 """)
 def read_delivery_reports(t):
-    docs = read_delivery(t["project"].sparkSession, reports.move_reports(t, "beluga", "handoff", True), multi_line=False)
+    docs = read_delivery(t["project"].sparkSession, reports.move_reports(t, "bravo", "handoff", True), multi_line=False)
     rows = docs.select("delete", F.explode("readset").alias("r"))
     return rows.select("r.readset_name", "delete", F.size("r.file").cast("bigint").alias("files"))
 
@@ -129,8 +129,8 @@ def ingested_entity_counts(t):
 
 
 @query("ingested_files", "I-15, I-12, I-14", NAMES + """
-SELECT readset_name, f.name AS file_name, f.type, f.md5sum, f.deliverable, f.read_type, 'abacus' AS endpoint,
-  'abacus:///run/' || readset_id || '/' || file_id AS uri, run_id || '-03-04 05:06:07' AS job_start
+SELECT readset_name, f.name AS file_name, f.type, f.md5sum, f.deliverable, f.read_type, 'alpha' AS endpoint,
+  'alpha:///run/' || readset_id || '/' || file_id AS uri, run_id || '-03-04 05:06:07' AS job_start
 FROM named JOIN e_readset_file USING (readset_id) JOIN e_file f ON f.id = file_id
 """)
 def ingested_files(t):
@@ -190,7 +190,7 @@ def reingest_rejections(t):
 
 @query("transferred_locations", "I-16, I-12", NAMES + """
 SELECT readset_name, e.endpoint, e.endpoint || ':///run/' || readset_id || '/' || file_id AS uri, e.jobs
-FROM named JOIN e_readset_file USING (readset_id), (VALUES ('abacus', 2), ('beluga', 2)) e(endpoint, jobs)
+FROM named JOIN e_readset_file USING (readset_id), (VALUES ('alpha', 2), ('bravo', 2)) e(endpoint, jobs)
 """)
 def transferred_locations(t):
     n = reports.loaded_transfers(t)[1]
@@ -213,8 +213,8 @@ def transferred_links(t):
 
 @query("delivered_locations", "I-18, I-13", NAMES + """
 SELECT e.endpoint || ':///run/' || readset_id || '/' || file_id AS uri, 'DELIVERED' AS state,
-  e.endpoint = 'beluga' AND readset_id % 2 = 0 AS deleted
-FROM named JOIN e_readset_file USING (readset_id), (VALUES ('abacus'), ('beluga'), ('handoff')) e(endpoint)
+  e.endpoint = 'bravo' AND readset_id % 2 = 0 AS deleted
+FROM named JOIN e_readset_file USING (readset_id), (VALUES ('alpha'), ('bravo'), ('handoff')) e(endpoint)
 """)
 def delivered_locations(t):
     n = reports.loaded_deliveries(t)[1]
@@ -223,14 +223,14 @@ def delivered_locations(t):
 
 
 @query("missing_transfer_sources", "V-4", NAMES + """
-SELECT readset_name, 'abacus:///d/' || f.id || '/' || f.name AS src_uri FROM named JOIN e_readset_file USING (readset_id) JOIN e_file f ON f.id = file_id
+SELECT readset_name, 'alpha:///d/' || f.id || '/' || f.name AS src_uri FROM named JOIN e_readset_file USING (readset_id) JOIN e_file f ON f.id = file_id
 WHERE f.id NOT IN (SELECT file_id FROM e_location)
 """)
 def missing_transfer_sources(t):
     names = t["readset"].select(F.col("id").alias("readset_id"), F.col("name").alias("readset_name"))
     f = t["file"].select(F.col("id").alias("file_id"), "name")
     asked = t["readset_file"].join(names, "readset_id").join(f, "file_id").select(
-        "readset_name", F.concat(F.lit("abacus:///d/"), "file_id", F.lit("/"), "name").alias("src_uri")
+        "readset_name", F.concat(F.lit("alpha:///d/"), "file_id", F.lit("/"), "name").alias("src_uri")
     )
     return v.missing_source_files(t, asked).select("readset_name", "src_uri")
 
@@ -276,7 +276,7 @@ def pipeline_file_versions(t):
 
 @query("pipeline_own_files", "I-17, I-14", NAMES + """
 SELECT readset_name, 'trim.' || readset_name AS job_name, readset_name || '.trim.fastq.gz' AS file_name, 'trim.fastq.gz' AS wide,
-  'fastq.gz' AS type, 'abacus:///trim/' || readset_name AS uri, CAST(readset_id AS VARCHAR) AS reads FROM named
+  'fastq.gz' AS type, 'alpha:///trim/' || readset_name AS uri, CAST(readset_id AS VARCHAR) AS reads FROM named
 """)
 def pipeline_own_files(t):
     n = reports.loaded_pipelines(t)[1]
@@ -291,13 +291,13 @@ def pipeline_own_files(t):
 
 
 @query("pipeline_shared_location", "I-13, I-12", RUNS + """
-SELECT 'abacus:///merge/summary.txt' AS uri, md5(CAST(max(readset_id) // 50 AS VARCHAR)) AS md5sum FROM named
+SELECT 'alpha:///merge/summary.txt' AS uri, md5(CAST(max(readset_id) // 50 AS VARCHAR)) AS md5sum FROM named
 """)
 def pipeline_shared_location(t):
     """One uri met under many files ends with the file of its last document."""
     n = reports.loaded_pipelines(t)[1]
     f = n["file"].select(F.col("id").alias("file_id"), "md5sum")
-    return n["location"].filter(F.col("uri").startswith("abacus:///merge/")).join(f, "file_id").select("uri", "md5sum")
+    return n["location"].filter(F.col("uri").startswith("alpha:///merge/")).join(f, "file_id").select("uri", "md5sum")
 
 
 @query("pipeline_warning_counts", "I-17, I-1", RUNS + """

@@ -262,7 +262,7 @@ def written_catalog(t):
 
 
 @query("streamed_transfers", "I-20, I-16", """
-SELECT endpoint, count(*) AS n FROM e_readset_file, (VALUES ('abacus'), ('beluga')) e(endpoint) GROUP BY 1
+SELECT endpoint, count(*) AS n FROM e_readset_file, (VALUES ('alpha'), ('bravo')) e(endpoint) GROUP BY 1
 """)
 def streamed_transfers(t):
     """Transfer reports arriving as files, loaded by a stream into a catalog on disk; started
@@ -270,7 +270,7 @@ def streamed_transfers(t):
     spark = t["project"].sparkSession
     base = scratch_path(spark, "catalog")
     write_tables(spark, base, reports.loaded_runs(t)[1])
-    folder = reports.move_reports(t, "abacus", "beluga")
+    folder = reports.move_reports(t, "alpha", "bravo")
     for _ in range(2):
         stream = stream_ingest(
             spark, folder, "transfer", base, f"{base}-checkpoint", multi_line=False, as_of=reports.AS_OF

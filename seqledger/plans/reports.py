@@ -71,7 +71,7 @@ def _files(t: Tables, item: Column) -> DataFrame:
 
 def run_processing_reports(t: Tables) -> str:
     item = F.struct(
-        _uri("abacus").alias("location_uri"), F.col("name").alias("file_name"), F.col("md5sum").alias("file_md5sum"),
+        _uri("alpha").alias("location_uri"), F.col("name").alias("file_name"), F.col("md5sum").alias("file_md5sum"),
         F.col("deliverable").alias("file_deliverable"), F.col("extra_metadata").alias("file_extra_metadata"),
     )
     metric = F.struct(
@@ -97,7 +97,7 @@ def run_processing_reports(t: Tables) -> str:
     )
     date = F.concat("run_id", F.lit(RUN_DATE))
     return write_reports(rows, [
-        F.lit("abacus").alias("operation_platform"), "project_name", "run_name", F.lit("novaseq").alias("run_instrument"),
+        F.lit("alpha").alias("operation_platform"), "project_name", "run_name", F.lit("novaseq").alias("run_instrument"),
         date.alias("run_date"), date.alias("job_start"), date.alias("job_stop"), F.array(specimen).alias("specimen"),
     ])
 
@@ -107,7 +107,7 @@ def move_reports(t: Tables, source: str, dest: str, delivery: bool = False) -> s
     rows = _readsets(t).join(_files(t, item), "readset_id")
     date = F.concat("run_id", F.lit("-05-05 05:05:05"))
     fields = [
-        "project_name", F.lit("abacus").alias("operation_platform"), F.lit("globus").alias("operation_cmd_line"),
+        "project_name", F.lit("alpha").alias("operation_platform"), F.lit("globus").alias("operation_cmd_line"),
         date.alias("job_start"), date.alias("job_stop"), F.array(F.struct("readset_name", "file")).alias("readset"),
     ]
     if delivery:
@@ -124,7 +124,7 @@ def pipeline_reports(t: Tables, change: int = 50) -> str:
         F.concat(F.lit("trim."), "readset_name").alias("job_name"), F.lit("2024-01-01 00:00:00").alias("job_start"),
         F.lit("2024-01-01 01:00:00").alias("job_stop"), F.lit("COMPLETED").alias("job_status"),
         F.array(F.struct(
-            F.concat(F.lit("abacus:///trim/"), "readset_name").alias("location_uri"),
+            F.concat(F.lit("alpha:///trim/"), "readset_name").alias("location_uri"),
             F.concat("readset_name", F.lit(".trim.fastq.gz")).alias("file_name"), F.md5("readset_name").alias("file_md5sum"),
             F.lit(True).alias("file_deliverable"),
         )).alias("file"),
@@ -136,7 +136,7 @@ def pipeline_reports(t: Tables, change: int = 50) -> str:
     shared = F.struct(
         F.lit("merge").alias("job_name"), none.alias("job_start"), none.alias("job_stop"), F.lit("COMPLETED").alias("job_status"),
         F.array(F.struct(
-            F.lit("abacus:///merge/summary.txt").alias("location_uri"), F.lit("summary.txt").alias("file_name"),
+            F.lit("alpha:///merge/summary.txt").alias("location_uri"), F.lit("summary.txt").alias("file_name"),
             F.md5(era).alias("file_md5sum"), F.lit(False).alias("file_deliverable"),
         )).alias("file"),
         F.array(F.struct(
@@ -153,7 +153,7 @@ def pipeline_reports(t: Tables, change: int = 50) -> str:
     return write_reports(rows, [
         F.col("project_name"), F.lit("cfg").alias("operation_config_name"), F.lit("1").alias("operation_config_version"),
         F.lit("m1").alias("operation_config_md5sum"), F.lit("a = 1").alias("operation_config_data"),
-        F.lit("abacus").alias("operation_platform"), F.lit("run").alias("operation_cmd_line"), F.array(sample).alias("sample"),
+        F.lit("alpha").alias("operation_platform"), F.lit("run").alias("operation_cmd_line"), F.array(sample).alias("sample"),
     ])
 
 
@@ -204,7 +204,7 @@ def reloaded_runs(t: Tables) -> Loaded:
 def loaded_transfers(t: Tables) -> tuple[Loaded, Tables]:
     def make():
         base = loaded_runs(t)[1]
-        docs = read_reports(t["project"].sparkSession, move_reports(t, "abacus", "beluga"), "transfer")
+        docs = read_reports(t["project"].sparkSession, move_reports(t, "alpha", "bravo"), "transfer")
         out = ingest_transfer(base, docs, AS_OF)
         return out, _fixed(out, base)
 
@@ -214,7 +214,7 @@ def loaded_transfers(t: Tables) -> tuple[Loaded, Tables]:
 def loaded_deliveries(t: Tables) -> tuple[Loaded, Tables]:
     def make():
         base = loaded_transfers(t)[1]
-        docs = read_reports(t["project"].sparkSession, move_reports(t, "beluga", "handoff", True), "delivery")
+        docs = read_reports(t["project"].sparkSession, move_reports(t, "bravo", "handoff", True), "delivery")
         out = ingest_delivery(base, docs, AS_OF)
         return out, _fixed(out, base)
 

@@ -72,8 +72,8 @@ def tables(spark: SparkSession, folder: str) -> Tables:
     )
     spots = file.filter(c("id") % 5 != 0).select(
         c("id").alias("file_id"), "name", F.explode(F.array(
-            F.struct(F.lit(0).alias("n"), F.lit("abacus").alias("endpoint")),
-            F.struct(F.lit(1).alias("n"), F.lit("beluga").alias("endpoint")),
+            F.struct(F.lit(0).alias("n"), F.lit("alpha").alias("endpoint")),
+            F.struct(F.lit(1).alias("n"), F.lit("bravo").alias("endpoint")),
         )).alias("e"),
     )
     spot_id = c("file_id") * 2 + c("e.n")
@@ -106,7 +106,7 @@ def tables(spark: SparkSession, folder: str) -> Tables:
         ),
         "operation": _table(
             supplier, "operation", id=c("s_suppkey"), project_id=c("n_regionkey"),
-            operation_config_id=F.floor(c("s_suppkey") / 16), platform=F.lit("abacus"), cmd_line=F.lit("run.sh"),
+            operation_config_id=F.floor(c("s_suppkey") / 16), platform=F.lit("alpha"), cmd_line=F.lit("run.sh"),
             name=_choice(c("s_suppkey"), RUN_PROCESSING, TRANSFER, PIPELINE, DELIVERY), status=F.lit("COMPLETED"),
         ),
         "reference": spark.createDataFrame([], SCHEMAS["reference"]),
@@ -151,7 +151,8 @@ def topup_samples(samples: DataFrame) -> DataFrame:
     return samples.withColumn("name", F.concat(F.lit("S-"), group, F.lit("-"), F.col("id") % 7, F.lit("RT")))
 
 
-LONG_HOST = "abacus.cluster.example.org"
+LONG_HOST = "alpha.cluster.example.org"
+SHORT_HOST = "alpha"
 
 
 def long_host_locations(location: DataFrame) -> DataFrame:
@@ -159,10 +160,10 @@ def long_host_locations(location: DataFrame) -> DataFrame:
     short form on another row."""
     long = F.col("id") % 4 == 0
     row = F.floor(F.col("id") / 4) * 4
-    uri = F.concat(F.lit("abacus"), F.when(long, ".cluster.example.org").otherwise(""), F.lit(":///d/"), row)
+    uri = F.concat(F.lit("alpha"), F.when(long, ".cluster.example.org").otherwise(""), F.lit(":///d/"), row)
     return location.select(*[
         uri.alias(c) if c == "uri"
-        else F.when(long, LONG_HOST).otherwise(F.lit("abacus")).alias(c) if c == "endpoint"
+        else F.when(long, LONG_HOST).otherwise(F.lit("alpha")).alias(c) if c == "endpoint"
         else F.col(c)
         for c in location.columns
     ])
@@ -193,7 +194,7 @@ e_readset AS (
   FROM orders),
 e_operation AS (
   SELECT s_suppkey AS id, CAST(n_regionkey AS BIGINT) AS project_id, s_suppkey // 16 AS operation_config_id,
-    'abacus' AS platform, 'run.sh' AS cmd_line, 'COMPLETED' AS status,
+    'alpha' AS platform, 'run.sh' AS cmd_line, 'COMPLETED' AS status,
     CASE s_suppkey % 4 WHEN 0 THEN '{RUN_PROCESSING}' WHEN 1 THEN '{TRANSFER}' WHEN 2 THEN '{PIPELINE}'
       ELSE '{DELIVERY}' END AS name, false AS deprecated, false AS deleted
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
@@ -225,7 +226,7 @@ e_file AS (
 e_location AS (
   SELECT f.id * 2 + e.n AS id, f.id AS file_id, e.endpoint, e.endpoint || ':///d/' || f.id || '/' || f.name AS uri,
     (f.id * 2 + e.n) % 37 = 0 AS deleted, false AS deprecated
-  FROM e_file f, (VALUES (0, 'abacus'), (1, 'beluga')) e(n, endpoint) WHERE f.id % 5 <> 0),
+  FROM e_file f, (VALUES (0, 'alpha'), (1, 'bravo')) e(n, endpoint) WHERE f.id % 5 <> 0),
 e_readset_file AS (SELECT DISTINCT l_orderkey AS readset_id, l_partkey AS file_id FROM lineitem WHERE l_partkey % 10 <> 0),
 e_readset_operation AS (SELECT DISTINCT l_orderkey AS readset_id, l_suppkey AS operation_id FROM e_line),
 e_readset_job AS (SELECT DISTINCT l_orderkey AS readset_id, l_suppkey * 10 + l_linenumber AS job_id FROM e_line WHERE l_linenumber <> 7),
@@ -236,7 +237,7 @@ e_readset_metric AS (
 e_topup AS (
   SELECT id, specimen_id, 'S-' || ((id // 7) % 200) || '-' || (id % 7) || 'RT' AS name FROM e_sample),
 e_long_location AS (
-  SELECT id, file_id, CASE WHEN id % 4 = 0 THEN '{LONG_HOST}' ELSE 'abacus' END AS endpoint,
-    'abacus' || CASE WHEN id % 4 = 0 THEN '.cluster.example.org' ELSE '' END || ':///d/' || (id // 4) * 4 AS uri
+  SELECT id, file_id, CASE WHEN id % 4 = 0 THEN '{LONG_HOST}' ELSE 'alpha' END AS endpoint,
+    'alpha' || CASE WHEN id % 4 = 0 THEN '.cluster.example.org' ELSE '' END || ':///d/' || (id // 4) * 4 AS uri
   FROM e_location)
 """

@@ -72,19 +72,14 @@ def test_delivery(make):
     assert codes == [("file_not_at_endpoint", 1), ("no_deliverable_files", 3), ("wrong_type", 2)]
 
 
-def test_large_specimen_is_spread_over_parts_without_loss(make):
-    t = world(make, files=40)
-
-    def flat(size):
-        rows = d.digest_delivery(t, 1, REQUEST, size)["specimen"]
-        n = rows.count()
-        rows = rows.select("name", F.explode("sample").alias("s")).select("name", F.explode("s.readset").alias("r"))
-        files = rows_of(rows.select(F.col("r.name").alias("r"), F.explode("r.file.name").alias("f")), "r", "f")
-        return n, files, {r[0] for r in rows.select("r.name").collect()}
-
-    one, files, names = flat(1000)
-    many, spread, spread_names = flat(5)
-    assert one == 1 and many > 3 and spread == files and spread_names == names
+def test_delivery_has_one_row_per_readset_and_nests_into_one_per_specimen(make):
+    out = d.digest_delivery(world(make, files=40), 1, REQUEST)
+    flat = out["readset"].select("specimen_name", "sample_name", F.col("name").alias("r"), F.explode("file.name").alias("f"))
+    rows = out["specimen"].select(F.col("name").alias("specimen_name"), F.explode("sample").alias("s"))
+    rows = rows.select("specimen_name", F.col("s.name").alias("sample_name"), F.explode("s.readset").alias("r"))
+    rows = rows.select("specimen_name", "sample_name", F.col("r.name").alias("r"), F.explode("r.file.name").alias("f"))
+    cols = ("specimen_name", "sample_name", "r", "f")
+    assert out["specimen"].count() == 1 and rows_of(rows, *cols) == rows_of(flat, *cols) and flat.count() > 40
 
 
 def test_related_ids_keep_nulls_for_hidden_readsets(make):
@@ -93,8 +88,11 @@ def test_related_ids_keep_nulls_for_hidden_readsets(make):
         readset=[{"id": 1, "sample_id": 1}, {"id": 2, "sample_id": 1, "deleted": True}, {"id": 3, "sample_id": 1, "deleted": True, "deprecated": True}],
     )
     assert rows_of(p.with_related(t, "sample"), "id", "readset_ids") == [(1, [1, 2, None]), (2, [])]
-    parts = p.related_arrays(t, "sample", size=1).collect()
-    assert sorted((x is None, x or 0) for r in parts for x in r["readset_ids"]) == [(False, 1), (False, 2), (True, 0)]
+    assert rows_of(p.related_ids(t, "sample"), "id", "kind", "related_id") == [
+        (1, "readset", 1), (1, "readset", 2), (1, "readset", None),
+    ]
+    few = t["sample"].filter("id = 2")
+    assert rows_of(p.related_ids(t, "sample", rows=few), "id") == [] and p.with_related(t, "sample", few).count() == 1
 
 
 def test_rollup_counts_a_shared_metric_once_per_sample(make):

@@ -26,8 +26,8 @@ def test_id_ranges(spark):
 def test_names_and_uris(spark):
     assert one(spark, fn.name_list, " a , b,,c ") == [["a", "b", "c"]]
     # Two slashes only: the whole uri is the endpoint.
-    assert one(spark, fn.before_triple_slash, "abacus:///x/y", "s3://bucket/x") == ["abacus", "s3://bucket/x"]
-    assert one(spark, fn.after_scheme, "abacus:///x/y", "a://b://c", "plain") == ["/x/y", "c", "plain"]
+    assert one(spark, fn.before_triple_slash, "alpha:///x/y", "s3://bucket/x") == ["alpha", "s3://bucket/x"]
+    assert one(spark, fn.after_scheme, "alpha:///x/y", "a://b://c", "plain") == ["/x/y", "c", "plain"]
 
 
 def test_alias_union_treats_null_as_empty(spark):

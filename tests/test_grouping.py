@@ -60,18 +60,6 @@ def test_number_documents(spark):
     assert {r["source"]: r["doc"] for r in rows} == {f"f{n:04d}": n for n in range(500)}
 
 
-def test_parts_hold_the_whole_group(spark):
-    data = [("hot", n) for n in range(300)] + [("cold", n) for n in range(3)] + [(None, n) for n in range(50)]
-    df = spark.createDataFrame(data, "k string, n long")
-    parts = g.with_part(df, ["k"], ["n"], size=20).groupBy("k", "part").agg(F.collect_list("n").alias("ns")).collect()
-    by_key = {}
-    for r in parts:
-        by_key.setdefault(r["k"], []).append(r["ns"])
-    assert len(by_key["cold"]) == 1 and len(by_key["hot"]) > 5 and len(by_key[None]) > 1
-    assert sorted(x for ns in by_key["hot"] for x in ns) == list(range(300))
-    assert sorted(x for ns in by_key[None] for x in ns) == list(range(50))
-
-
 def test_repeat_rows(spark):
     df = spark.createDataFrame([("a", 25), ("b", 1), ("c", 10)], "k string, n long")
     got = {r["k"]: r["count"] for r in g.repeat_rows(df, "n", chunk=10).groupBy("k").count().collect()}

@@ -26,14 +26,14 @@ def put(folder, name, doc):
 
 def run_doc(readsets, sample="S1", **more):
     return {
-        "operation_platform": "abacus", "project_name": "demo", "run_ext_id": None, "run_ext_src": None, "run_name": "run1",
+        "operation_platform": "alpha", "project_name": "demo", "run_ext_id": None, "run_ext_src": None, "run_name": "run1",
         "run_instrument": "nova", "run_date": "2022-01-02 03:04:05", "job_start": None, "job_stop": None,
         "specimen": [{"specimen_name": "P1", "specimen_cohort": "C", "specimen_institution": "I", "sample": [{
             "sample_name": sample, "sample_tumour": False, **more, "readset": [{
                 "experiment_sequencing_technology": None, "experiment_type": "WGS", "experiment_nucleic_acid_type": "DNA",
                 "experiment_library_kit": None, "experiment_kit_expiration_date": None, "readset_name": r, "readset_lane": "1",
                 "readset_adapter1": "A", "readset_adapter2": "B", "readset_sequencing_type": "PAIRED_END", "readset_quality_offset": "33",
-                "file": [{"location_uri": f"abacus:///{r}.bam", "file_name": f"{r}.bam", "file_extra_metadata": {"read_type": "R1"}}],
+                "file": [{"location_uri": f"alpha:///{r}.bam", "file_name": f"{r}.bam", "file_extra_metadata": {"read_type": "R1"}}],
                 "metric": [{"metric_name": "yield", "metric_value": "1"}, {"metric_name": "yield", "metric_value": "1"}],
             } for r in readsets],
         }]}],
@@ -45,10 +45,10 @@ def pipe_doc(entries, sample="S1"):
     names = list(dict.fromkeys(e[0] for e in entries))
     return {
         "project_name": "DEMO", "operation_config_name": "cfg", "operation_config_version": "1", "operation_config_md5sum": "m",
-        "operation_config_data": "a=1", "operation_platform": "abacus", "operation_cmd_line": "run", "operation_name": "ignored",
+        "operation_config_data": "a=1", "operation_platform": "alpha", "operation_cmd_line": "run", "operation_name": "ignored",
         "sample": [{"sample_name": sample, "readset": [{"readset_name": r, "job": [{
             "job_name": j, "job_start": "2022-01-01 00:00:00", "job_stop": None, "job_status": "COMPLETED" if md5 else None,
-            "file": [{"location_uri": f"abacus:///{j}.txt", "file_name": f"{j}.txt", "file_md5sum": md5}],
+            "file": [{"location_uri": f"alpha:///{j}.txt", "file_name": f"{j}.txt", "file_md5sum": md5}],
             "metric": [{"metric_name": "q", "metric_value": v, "metric_flag": "PASS"}],
         } for rr, j, md5, v in entries if rr == r]} for r in names]}],
     }
@@ -139,7 +139,7 @@ def test_changed_values_replace_across_documents(spark, loaded, tmp_path):
     assert rows_of(files, "id", "md5sum", "deprecated") == [(3, "a", True), (4, "b", True), (5, "a", False)]
     assert rows_of(t["metric"].filter("name = 'q'"), "id", "value", "deprecated") == [(5, "1", True), (6, "2", False)]
     # The one uri ends with the file of the last document.
-    assert rows_of(t["location"].filter("uri = 'abacus:///merge.txt'"), "file_id") == [(5,)]
+    assert rows_of(t["location"].filter("uri = 'alpha:///merge.txt'"), "file_id") == [(5,)]
     assert rows_of(t["readset_metric"].filter("metric_id = 5"), "readset_id") == [(1,), (2,)]
 
 
@@ -193,43 +193,43 @@ def test_rows_before_the_first_match_are_deprecated(spark, make):
 
 def move(readset, pairs, **more):
     return {
-        "operation_platform": "abacus", "operation_cmd_line": "cp", "job_end": "2022-01-01 00:00:00", **more,
+        "operation_platform": "alpha", "operation_cmd_line": "cp", "job_end": "2022-01-01 00:00:00", **more,
         "readset": [{"readset_name": readset, "file": [{"src_location_uri": a, "dest_location_uri": b} for a, b in pairs]}],
     }
 
 
 def test_transfer_and_delivery(spark, loaded, tmp_path):
-    folder = put(tmp_path / "t", "a", move("R1", [("abacus:///R1.bam", "beluga:///R1.bam")]))
-    put(tmp_path / "t", "b", move("R1", [("abacus:///R2.bam", "beluga:///R2.bam")]))
+    folder = put(tmp_path / "t", "a", move("R1", [("alpha:///R1.bam", "bravo:///R1.bam")]))
+    put(tmp_path / "t", "b", move("R1", [("alpha:///R2.bam", "bravo:///R2.bam")]))
     out = ingest.ingest_transfer(loaded, read_transfer(spark, folder), AS_OF, project="demo")
     # The file of another readset is not found under this name.
-    assert rows_of(out.errors, "doc", "code", "detail") == [(1, "source_missing", "abacus:///R2.bam")]
+    assert rows_of(out.errors, "doc", "code", "detail") == [(1, "source_missing", "alpha:///R2.bam")]
     path = str(tmp_path / "catalog")
     write_tables(spark, path, out.tables(loaded))
     t = load_tables(spark, path)
     assert rows_of(t["location"], "uri", "file_id", "endpoint") == [
-        ("abacus:///R1.bam", 1, "abacus"), ("abacus:///R2.bam", 2, "abacus"), ("beluga:///R1.bam", 1, "beluga"),
+        ("alpha:///R1.bam", 1, "alpha"), ("alpha:///R2.bam", 2, "alpha"), ("bravo:///R1.bam", 1, "bravo"),
     ]
     loose = ingest.ingest_transfer(loaded, read_transfer(spark, folder), AS_OF, "demo", check_readset_name=False)
     assert loose.errors.count() == 0 and loose.inserts["location"].count() == 2
 
-    folder = put(tmp_path / "v", "a", move("R1", [("beluga:///R1.bam", "out:///R1.bam")]))
-    put(tmp_path / "v", "b", move("R2", [("abacus:///R2.bam", "beluga:///R1.bam")], delete=False))
+    folder = put(tmp_path / "v", "a", move("R1", [("bravo:///R1.bam", "out:///R1.bam")]))
+    put(tmp_path / "v", "b", move("R2", [("alpha:///R2.bam", "bravo:///R1.bam")], delete=False))
     done = ingest.ingest_delivery(t, read_delivery(spark, folder), AS_OF, "demo")
     after = done.tables(t)
     # Deleted as a source first, revived as a destination after; it stays with its old file.
     assert rows_of(after["location"], "uri", "file_id", "deleted") == [
-        ("abacus:///R1.bam", 1, False), ("abacus:///R2.bam", 2, False), ("beluga:///R1.bam", 1, False), ("out:///R1.bam", 1, False),
+        ("alpha:///R1.bam", 1, False), ("alpha:///R2.bam", 2, False), ("bravo:///R1.bam", 1, False), ("out:///R1.bam", 1, False),
     ]
     assert rows_of(after["file"], "id", "state") == [(1, "DELIVERED"), (2, "DELIVERED")]
     only = ingest.ingest_delivery(t, read_delivery(spark, str(tmp_path / "v" / "a.json")), AS_OF, "demo").tables(t)
-    assert rows_of(only["location"].filter("deleted"), "uri") == [("beluga:///R1.bam",)]
+    assert rows_of(only["location"].filter("deleted"), "uri") == [("bravo:///R1.bam",)]
 
 
 def test_run_processing_revives_and_moves_a_known_uri(spark, make, tmp_path):
     base = make(
         project=[{"id": 1, "name": "DEMO"}], file=[{"id": 1, "name": "old"}],
-        location=[{"id": 1, "file_id": 1, "uri": "abacus:///R1.bam", "endpoint": "abacus", "deleted": True}],
+        location=[{"id": 1, "file_id": 1, "uri": "alpha:///R1.bam", "endpoint": "alpha", "deleted": True}],
     )
     folder = put(tmp_path / "d", "a", run_doc(["R1"]))
     t = ingest.ingest_run_processing(base, read_run_processing(spark, folder), AS_OF).tables(base)
@@ -240,7 +240,7 @@ def test_stream_over_a_growing_folder_equals_one_batch(spark, loaded, tmp_path):
     sink, drop = str(tmp_path / "sink"), tmp_path / "in"
     write_tables(spark, sink, loaded)
     for name, readset in (("a", "R1"), ("b", "R2")):
-        put(drop, name, move(readset, [(f"abacus:///{readset}.bam", f"beluga:///{readset}.bam")]))
+        put(drop, name, move(readset, [(f"alpha:///{readset}.bam", f"bravo:///{readset}.bam")]))
         stream = stream_ingest(spark, str(drop), "transfer", sink, str(tmp_path / "ck"), as_of=AS_OF, project="demo")
         stream.awaitTermination()
     streamed = load_tables(spark, sink)
