@@ -10,7 +10,6 @@ the empty context every byte costs 8 bits. The language of the least code length
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
 from .words import LOWER, chunks, mix
 
 #: Longest context in bytes, and slots of a worker's memory of code lengths.
 ORDER, SLOTS = 4, 1 << 19
 #: The learning sample: so many texts of each language, of at most so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS = 250, 20_000
+#: Languages whose shares are sent to all tasks; more are joined by a shuffle.
+BROADCAST_LANGS = 10_000
 LETTER = np.zeros(256, bool)
 LETTER[ord("a") : ord("z") + 1] = True
 LETTER[ord("A") : ord("Z") + 1] = True
@@ -172,7 +174,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = rows.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     rows = rows.withColumn("order", F.xxhash64(F.lit(10), "doc_id"))
     share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).withColumn("share", F.least(F.lit(1.0), 3.0 * SAMPLE_DOCS / F.col("rows")))
-    thin = rows.join(share.select("lang", "share"), "lang").filter(F.pmod("order", F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    share = cut(share.select("lang", "share"), "shares")
+    # Rows are thinned where they are read, so no text is shuffled that can't be in the sample.
+    few = share.count() <= BROADCAST_LANGS
+    thin = rows.join(F.broadcast(share) if few else share, "lang").filter(F.pmod("order", F.lit(1_000_000)) < F.col("share") * 1_000_000)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", F.xxhash64("text")))
     sample = thin.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS).select("lang", "text").collect()
     sample.sort()
@@ -215,30 +220,3 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def entropy_bits(text: bytes, model: Model) -> list[float]:
-    """Code length of one text per language, byte by byte: the plain reading of the definition."""
-    out = []
-    index = [{int(s): i for i, s in enumerate(m)} for m in model.symbols]
-    where = [{int(s): i for i, s in enumerate(m)} for m in model.contexts]
-    padded = bytes(ORDER) + bytes(LOWER[np.frombuffer(text, np.uint8)])
-    for lang in range(len(model.langs)):
-        bits = 0.0
-        for at in range(ORDER, len(padded)):
-            for k in range(ORDER, -1, -1):
-                context = int.from_bytes(padded[at - k : at], "big")
-                i = where[k].get(context)
-                if i is None or not model.totals[k][i, lang]:
-                    continue
-                whole = int(model.totals[k][i, lang] + model.kinds[k][i, lang])
-                j = index[k].get((context << 8) | padded[at])
-                n = int(model.times[k][j, lang]) if j is not None else 0
-                if n:
-                    bits -= math.log2(n / whole)
-                    break
-                bits -= math.log2(int(model.kinds[k][i, lang]) / whole)
-            else:
-                bits += 8
-        out.append(bits)
-    return out
