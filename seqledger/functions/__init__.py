@@ -19,5 +19,6 @@ from .columns import (  # noqa: F401
     topup_type,
     is_topup,
     union_alias,
+    unreadable_date,
     upper_name,
 )

@@ -91,8 +91,13 @@ def first_of(col: Column) -> Column:
     return F.get(col, F.lit(0))
 
 
+def unreadable_date(col: Column, fmt: str) -> Column:
+    """Whether ``col`` holds text that is no date of the format; an absent date is none."""
+    return col.isNotNull() & F.try_to_timestamp(col, F.lit(fmt)).isNull()
+
+
 def date_or(col: Column, fmt: str, fallback: Column) -> Column:
-    """Parse ``col``; an absent date takes ``fallback``."""
+    """Parse ``col``; an absent date takes ``fallback``.  Unreadable ones are refused before."""
     return F.coalesce(F.try_to_timestamp(col, F.lit(fmt)), fallback)
 
 

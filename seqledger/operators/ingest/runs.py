@@ -12,7 +12,7 @@ from ...schemas import FLAGS, LANES, LONG_DATE, NUCLEIC_ACID_TYPES, RUN_PROCESSI
 from ...session import cut
 from ..entities import Tables
 from ..grouping import without_ids
-from ..validate import enum_violations, error_rows, existing_names, repeated_names
+from ..validate import date_errors, enum_violations, error_rows, existing_names, repeated_names
 from .base import (
     Loaded,
     Moment,
@@ -69,6 +69,8 @@ def run_processing_errors(t: Tables, docs: DataFrame) -> DataFrame:
         error_rows(
             docs.filter(F.try_to_timestamp("run_date", F.lit(LONG_DATE)).isNull()), "bad_date", "run", F.col("run_date")
         ),
+        date_errors(docs, ("job_start", "job_stop"), LONG_DATE, "job"),
+        date_errors(readsets, ("experiment_kit_expiration_date",), SHORT_DATE, "experiment"),
         error_rows(existing_names(t, readsets.select("doc", "name")), "name_taken", "readset", F.col("name")),
         error_rows(repeated_names(readsets.select("doc", "name")), "name_repeated", "readset", F.col("name")),
         error_rows(enum_violations(metrics, "metric_flag", FLAGS), "bad_flag", "metric", F.col("metric_name")),

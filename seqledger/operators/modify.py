@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..schemas import ENTITY_SCHEMAS, FOREIGN_KEYS, LINK_SCHEMAS, UNIQUE_COLUMNS
+from ..schemas import DOMAINS, ENTITY_SCHEMAS, FOREIGN_KEYS, LINK_SCHEMAS, UNIQUE_COLUMNS
 from ..session import cut
 from .entities import Tables
 from .grouping import change_runs, only_ids, previous_value, without_ids
+from .ingest.base import Moment, moment
 from .validate import missing_ids, unique_violations
 
 REPORT = "action string, entity string, entity_id bigint, detail string"
@@ -192,6 +193,12 @@ def edit_conflicts(changed: Tables) -> DataFrame | None:
     return _union(parts) if parts else None
 
 
+def edit_domain_errors(mods: DataFrame) -> DataFrame:
+    """Edits to a value outside the domain of their column: (table, id, column, new, seq)."""
+    outside = [(F.col("column") == c) & ~F.col("new").isin(list(values)) for c, values in DOMAINS.items()]
+    return mods.filter(reduce(lambda a, b: a | b, outside))
+
+
 # --- soft delete and its relatives ----------------------------------------------------------
 
 
@@ -465,14 +472,39 @@ def cascade_mode(cascade: bool = False, cascade_up: bool = False, cascade_down:
     return given[0] if given else None
 
 
+def _stamped(table: DataFrame, name: str, report: DataFrame, as_of: Moment) -> DataFrame:
+    done = report.filter(F.col("entity") == name).select(F.col("entity_id").alias("_done")).distinct()
+    return table.join(done, table["id"] == done["_done"], "left").select(*[
+        F.when(F.col("_done").isNotNull(), moment(as_of)).otherwise(F.col(c)).alias(c) if c == "modification" else F.col(c)
+        for c in table.columns
+    ])
+
+
 def apply(
-    t: Tables, action: str, mods: DataFrame, cascade: str | None = None, dry_run: bool = False
+    t: Tables, action: str, mods: DataFrame, cascade: str | None = None, dry_run: bool = False,
+    as_of: Moment | None = None,
 ) -> Outcome:
-    """Run one action; unknown ids and edits that break a unique column refuse it whole.
+    """Run one action; unknown ids, edits to values outside a domain and edits that break a
+    unique column refuse it whole.
 
-    A dry run returns the report without changed tables.
+    Entries without ids are warned of and left out.  ``as_of`` is written as the modification
+    time of every row that changed; without it the column stays.  A dry run returns the report
+    without changed tables.
     """
+    empty = mods.filter(F.col("id").isNull()).select(
+        F.lit("no_ids").alias("action"), F.col("table").alias("entity"), F.col("id").alias("entity_id"),
+        F.concat(F.lit("entry "), F.col("seq")).alias("detail"),
+    )
+    mods = mods.filter(F.col("id").isNotNull())
+    if mods.isEmpty():
+        none = empty.filter(F.lit(False))
+        return Outcome(report=none, warnings=empty)
+    if action == "edit":
+        outside = edit_domain_errors(mods)
+        if not outside.isEmpty():
+            raise ValueError(f"values outside their domain: {outside.limit(20).collect()}")
     out = edit(t, mods) if action == "edit" else ACTIONS[action](t, mods, cascade)
+    out.warnings = out.warnings.unionByName(empty)
     if out.missing is not None and not out.missing.isEmpty():
         raise LookupError(f"unknown ids: {out.missing.limit(20).collect()}")
     if action == "edit":
@@ -481,4 +513,9 @@ def apply(
             raise ValueError(f"values no longer unique: {clashes.limit(20).collect()}")
     if dry_run:
         out.changed = {}
+    if as_of is not None:
+        out.changed = {
+            name: _stamped(table, name, out.report, as_of) if name in ENTITY_SCHEMAS else table
+            for name, table in out.changed.items()
+        }
     return out

@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import unreadable_date
 from .entities import Tables
 from .grouping import without_ids
 
@@ -26,6 +27,15 @@ def error_rows(rows: DataFrame, code: str, entity: str, detail: Column) -> DataF
     )
 
 
+def date_errors(rows: DataFrame, cols: Iterable[str], fmt: str, entity: str) -> DataFrame:
+    """Error rows for dates that are there and can't be read; absent ones are no error."""
+    bad = F.filter(
+        F.array(*[F.when(unreadable_date(F.col(c), fmt), F.concat_ws("=", F.lit(c), F.col(c))) for c in cols]),
+        lambda x: x.isNotNull(),
+    )
+    return error_rows(rows.select("doc", F.explode(bad).alias("text")), "bad_date", entity, F.col("text"))
+
+
 def existing_names(t: Tables, incoming: DataFrame, table: str = "readset") -> DataFrame:
     """Incoming names already stored, whatever their flags; all of them at once."""
     stored = t[table].select("name").distinct()

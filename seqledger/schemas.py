@@ -99,6 +99,12 @@ STATUSES = ("PENDING", "RUNNING", "COMPLETED", "FAILED", "OUT_OF_MEMORY", "CANCE
 FLAGS = ("PASS", "WARNING", "FAILED", "MISSING", "NOT_APPLICABLE")
 AGGREGATES = ("SUM", "AVERAGE", "N")
 
+# Columns that take the values of a domain only.
+DOMAINS = {
+    "nucleic_acid_type": NUCLEIC_ACID_TYPES, "lane": LANES, "sequencing_type": SEQUENCING_TYPES,
+    "state": STATES, "status": STATUSES, "flag": FLAGS, "aggregate": AGGREGATES,
+}
+
 # Names given to operations and jobs by the loaders.
 RUN_PROCESSING = "run_processing"
 TRANSFER = "transfer"

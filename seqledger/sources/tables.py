@@ -9,13 +9,20 @@ are not disturbed.  The manifest is written last.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.entities import Tables
 from ..schemas import SCHEMAS
 
+
+class ConflictError(RuntimeError):
+    """Another writer took the version."""
+
+
 _MANIFEST = "version bigint, source string, batch bigint, tables string"
 
 
@@ -23,13 +30,25 @@ def empty_tables(spark: SparkSession) -> Tables:
     return {name: spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}
 
 
-def manifests(spark: SparkSession, base: str) -> list:
-    """Manifest rows, oldest first (one small row per version)."""
+def _manifests(spark: SparkSession, base: str) -> DataFrame | None:
+    """Manifest rows, one per version; they stay distributed."""
     try:
-        rows = spark.read.schema(_MANIFEST).json(f"{base}/manifest/*").collect()
+        return spark.read.schema(_MANIFEST).json(f"{base}/manifest/*")
     except AnalysisException:
-        return []
-    return sorted(rows, key=lambda r: r["version"])
+        return None
+
+
+def manifest(spark: SparkSession, base: str, version: int | None = None) -> Row | None:
+    """The newest manifest row, or that of a version."""
+    rows = _manifests(spark, base)
+    if rows is None:
+        return None
+    if version is not None:
+        found = rows.filter(F.col("version") == version).first()
+        if found is None:
+            raise LookupError(f"no version {version}")
+        return found
+    return rows.orderBy(F.desc("version")).first()
 
 
 def load_tables(spark: SparkSession, base: str, version: int | None = None) -> Tables:
@@ -37,10 +56,9 @@ def load_tables(spark: SparkSession, base: str, version: int | None = None) -> T
 
     Without a manifest, ``base/<table>`` or ``base/<table>.parquet`` are read directly.
     """
-    rows = manifests(spark, base)
-    if not rows:
+    chosen = manifest(spark, base, version)
+    if chosen is None:
         return {name: _plain(spark, base, name) for name in SCHEMAS}
-    chosen = rows[-1] if version is None else next(r for r in rows if r["version"] == version)
     paths = json.loads(chosen["tables"])
     return {
         name: spark.read.schema(schema).parquet(*[f"{base}/{p}" for p in paths[name]])
@@ -71,23 +89,32 @@ def write_changes(
     spark: SparkSession, base: str, rewritten: Tables, appended: Tables, dry_run: bool = False,
     source: str = "", batch: int = -1,
 ) -> int | None:
-    """Write a new version: ``rewritten`` tables replace theirs, ``appended`` rows are added."""
+    """Write a new version: ``rewritten`` tables replace theirs, ``appended`` rows are added.
+
+    The data goes to a folder of its own; the manifest claims the version number and fails where
+    another writer has it already.  What that one wrote stays, and the caller starts anew from it.
+    """
     if dry_run:
         return None
-    rows = manifests(spark, base)
-    version = rows[-1]["version"] + 1 if rows else 1
-    paths = json.loads(rows[-1]["tables"]) if rows else {}
+    last = manifest(spark, base)
+    version = last["version"] + 1 if last else 1
+    paths = json.loads(last["tables"]) if last else {}
+    folder = f"v{version:06d}-{uuid.uuid4().hex[:12]}"
     for name, df in rewritten.items():
-        df.write.mode("overwrite").parquet(f"{base}/v{version:06d}/{name}")
-        paths[name] = [f"v{version:06d}/{name}"]
+        df.write.parquet(f"{base}/{folder}/{name}")
+        paths[name] = [f"{folder}/{name}"]
     for name, df in appended.items():
-        df.write.mode("overwrite").parquet(f"{base}/v{version:06d}/{name}-new")
-        paths[name] = [*paths.get(name, []), f"v{version:06d}/{name}-new"]
+        df.write.parquet(f"{base}/{folder}/{name}-new")
+        paths[name] = [*paths.get(name, []), f"{folder}/{name}-new"]
     row = spark.createDataFrame([(version, source, batch, json.dumps(paths))], _MANIFEST)
-    row.coalesce(1).write.mode("overwrite").json(f"{base}/manifest/v{version:06d}")
+    try:
+        row.coalesce(1).write.mode("errorifexists").json(f"{base}/manifest/v{version:06d}")
+    except AnalysisException as error:
+        raise ConflictError(f"version {version} of {base} was written meanwhile") from error
     return version
 
 
-def written_batches(spark: SparkSession, base: str, source: str) -> set[int]:
-    """Micro-batches of a stream that a version holds already."""
-    return {r["batch"] for r in manifests(spark, base) if r["source"] == source}
+def batch_written(spark: SparkSession, base: str, source: str, batch: int) -> bool:
+    """Whether a version holds this micro-batch of the stream already."""
+    rows = _manifests(spark, base)
+    return rows is not None and not rows.filter((F.col("source") == source) & (F.col("batch") == batch)).isEmpty()

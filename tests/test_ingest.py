@@ -248,3 +248,70 @@ def test_stream_over_a_growing_folder_equals_one_batch(spark, loaded, tmp_path):
     assert rows_of(streamed["location"], "uri", "file_id") == rows_of(whole["location"], "uri", "file_id")
     assert rows_of(streamed["readset_job"], "readset_id", "job_id") == rows_of(whole["readset_job"], "readset_id", "job_id")
     assert rows_of(streamed["job_file"], "job_id", "file_id") == rows_of(whole["job_file"], "job_id", "file_id")
+
+
+CHAIN = [("alpha:///R1.bam", "bravo:///R1.bam"), ("bravo:///R1.bam", "cold:///R1.bam"), ("cold:///R1.bam", "dock:///R1.bam")]
+
+
+def test_moves_that_build_on_each_other_do_not_depend_on_batches(spark, loaded, tmp_path):
+    folder = None
+    for n, pair in enumerate(CHAIN):
+        folder = put(tmp_path / "t", f"{n}", move("R1", [pair]))
+    put(tmp_path / "t", "3", move("R2", [CHAIN[0]]))  # another readset's file
+    put(tmp_path / "t", "4", move("R2", [("alpha:///R2.bam", "bravo:///R2.bam"), ("lost:///x", "bravo:///x")]))
+    put(tmp_path / "t", "5", move("R2", [("bravo:///R2.bam", "cold:///R2.bam")]))  # builds on a refused report
+    put(tmp_path / "t", "6", move("R2", [("alpha:///R2.bam", "echo:///R2.bam"), ("echo:///R2.bam", "fox:///R2.bam")]))
+    out = ingest.ingest_transfer(loaded, read_transfer(spark, folder), AS_OF, "demo")
+    assert rows_of(out.errors, "doc", "detail") == [(3, "alpha:///R1.bam"), (4, "lost:///x"), (5, "bravo:///R2.bam")]
+    once = rows_of(out.tables(loaded)["location"], "uri", "file_id", "deleted")
+    t = loaded
+    for part in ("[0-1]", "[2-6]"):
+        t = ingest.ingest_transfer(t, read_transfer(spark, f"{folder}/{part}.json"), AS_OF, "demo").tables(t)
+    assert rows_of(t["location"], "uri", "file_id", "deleted") == once and len(once) == 7
+
+
+def test_deliveries_that_build_on_each_other_leave_the_last_place(spark, loaded, tmp_path):
+    for n, pair in enumerate(CHAIN):
+        folder = put(tmp_path / "d", f"{n}", move("R1", [pair]))
+    once = ingest.ingest_delivery(loaded, read_delivery(spark, folder), AS_OF, "demo").tables(loaded)
+    t = loaded
+    for part in ("0", "[1-2]"):
+        t = ingest.ingest_delivery(t, read_delivery(spark, f"{folder}/{part}.json"), AS_OF, "demo").tables(t)
+    rows = rows_of(once["location"].filter("file_id = 1"), "uri", "deleted")
+    assert rows == rows_of(t["location"].filter("file_id = 1"), "uri", "deleted")
+    assert [u for u, gone in rows if not gone] == ["dock:///R1.bam"]
+
+
+def test_unreadable_dates_are_refused_and_absent_ones_are_not(spark, loaded, tmp_path):
+    good, bad = run_doc(["R8"], "S8"), run_doc(["R9"], "S9")
+    bad["job_start"] = "not a date"
+    put(tmp_path / "r", "a", good)
+    folder = put(tmp_path / "r", "b", bad)
+    out = ingest.ingest_run_processing(loaded, read_run_processing(spark, folder), AS_OF, "demo")
+    assert rows_of(out.errors, "doc", "code", "detail") == [(1, "bad_date", "job_start=not a date")]
+    folder = put(tmp_path / "t", "a", move("R1", [CHAIN[0]], job_stop="2022-13-01 00:00:00"))
+    out = ingest.ingest_transfer(loaded, read_transfer(spark, folder), AS_OF, "demo")
+    assert rows_of(out.errors, "code", "detail") == [("bad_date", "job_stop=2022-13-01 00:00:00")]
+
+
+def test_two_folders_stream_into_one_catalog(spark, loaded, tmp_path):
+    sink = str(tmp_path / "sink")
+    write_tables(spark, sink, loaded)
+    for readset in ("R1", "R2"):
+        drop = tmp_path / f"in-{readset}"
+        put(drop, "a", move(readset, [(f"alpha:///{readset}.bam", f"bravo:///{readset}.bam")]))
+        for _ in range(2):  # the second start finds nothing new
+            stream_ingest(spark, str(drop), "transfer", sink, str(tmp_path / f"ck-{readset}"), as_of=AS_OF, project="demo").awaitTermination()
+    got = rows_of(load_tables(spark, sink)["location"].filter("endpoint = 'bravo'"), "uri", "file_id")
+    assert got == [("bravo:///R1.bam", 1), ("bravo:///R2.bam", 2)]
+    assert load_tables(spark, sink, 1)["location"].count() == 2
+
+
+def test_a_version_is_written_once(spark, loaded, tmp_path, monkeypatch):
+    from seqledger.sources import tables
+
+    path = str(tmp_path / "c")
+    write_tables(spark, path, loaded)
+    monkeypatch.setattr(tables, "manifest", lambda *a: None)  # a writer that has not seen version 1
+    with pytest.raises(tables.ConflictError):
+        write_tables(spark, path, {"project": loaded["project"]})

@@ -115,3 +115,16 @@ def test_only_one_cascade_switch():
     assert m.cascade_mode(cascade_down=True) == "cascade_down"
     with pytest.raises(ValueError):
         m.cascade_mode(cascade=True, cascade_up=True)
+
+
+def test_a_request_with_empty_entries_a_stamp_and_domains(spark, make):
+    t = make(file=[{"id": i, "name": f"f{i}", "state": "VALID"} for i in range(3)])
+    ask = spark.createDataFrame([("file", 0, "state", "ON_HOLD", 0), ("file", None, "state", "INVALID", 1), ("file", 1, "state", "VALID", 2)], m.REQUEST)
+    out = m.apply(t, "edit", ask, as_of="2024-05-05 00:00:00")
+    assert rows_of(out.warnings, "action", "entity_id", "detail") == [("no_ids", None, "entry 1"), ("unchanged", 1, "state: VALID -> VALID")]
+    rows = out.changed["file"].select("id", "state", out.changed["file"]["modification"].cast("string").alias("at"))
+    assert rows_of(rows, "id", "state", "at") == [(0, "ON_HOLD", "2024-05-05 00:00:00"), (1, "VALID", None), (2, "VALID", None)]
+    only_empty = m.apply(t, "delete", ask.filter("id IS NULL"))
+    assert not only_empty.changed and rows_of(only_empty.warnings, "action") == [("no_ids",)]
+    with pytest.raises(ValueError, match="nonsense"):
+        m.apply(t, "edit", ask.replace("ON_HOLD", "nonsense"))
