@@ -174,3 +174,75 @@ def _op6(spark: SparkSession, folder: str) -> DataFrame:
     from .preference import format_pairs, swapped_replies
 
     return format_pairs(swapped_replies(table(spark, folder, "conversations")))
+
+
+#: Fingerprints of op11 by list functions.
+_FINGERPRINTS = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+followed AS (
+  SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nt FROM d),
+edit AS (SELECT *, substring(t, 1, n - n // 3) || substring(nt, 1, n // 3) AS e FROM followed),
+word AS (
+  SELECT t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT t FROM edit UNION SELECT e FROM edit)),
+hashed AS (
+  SELECT t, list_transform(CASE WHEN len(w) = 0 THEN [] ELSE range(1, greatest(len(w) - 4, 1) + 1) END,
+    lambda i: md5(array_to_string(w[i : i + 4], ' '))[1:16]) AS h FROM word),
+sketch AS (
+  SELECT t, CASE WHEN len(list_filter(h, lambda x: x < '4')) > 0 THEN list_sort(list_distinct(list_filter(h, lambda x: x < '4')))
+    WHEN len(h) > 0 THEN [list_min(h)] ELSE [] END AS s FROM hashed),
+three AS (
+  SELECT doc_id, n, e, a.s AS a, b.s AS b, c.s AS c, len(list_intersect(a.s, b.s)) AS ab, len(list_intersect(a.s, c.s)) AS ac
+  FROM edit JOIN sketch a ON a.t = edit.t JOIN sketch b ON b.t = edit.e JOIN sketch c ON c.t = edit.nt)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(e) AS edited_sha256,
+  array_to_string(a, ' ') AS fingerprint, array_to_string(b, ' ') AS edited_fingerprint,
+  CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE ELSE ab::DOUBLE / (len(a) + len(b) - ab)::DOUBLE END AS near_edited,
+  CASE WHEN len(a) + len(c) = 0 THEN 1.0::DOUBLE ELSE ac::DOUBLE / (len(a) + len(c) - ac)::DOUBLE END AS near_next,
+  CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE ab::DOUBLE / len(a)::DOUBLE END AS held_edited,
+  CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE ac::DOUBLE / len(a)::DOUBLE END AS held_next
+FROM three
+"""
+
+
+@query("op11_document_fingerprints", _FINGERPRINTS)
+def _op11(spark: SparkSession, folder: str) -> DataFrame:
+    from .fingerprints import fingerprints
+
+    return fingerprints(table(spark, folder, "documents"))
+
+
+#: Terms and divergences of op13 in exact integers.
+_DIVERGENCE = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+held AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM doc) GROUP BY ALL),
+kept AS (SELECT lang, term FROM held GROUP BY lang, term HAVING count(*) >= 3),
+cnt AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM held SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+size AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+grp AS (
+  SELECT lang, source, coalesce(total, 0)::HUGEINT AS total, coalesce(v, 0)::HUGEINT AS v FROM (SELECT DISTINCT lang, source FROM doc)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM cnt GROUP BY ALL) USING (lang, source) LEFT JOIN size USING (lang)),
+p AS (
+  SELECT grp.lang, grp.source, kept.term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 1)) // (total + v) AS p
+  FROM grp JOIN kept ON kept.lang = grp.lang LEFT JOIN cnt ON cnt.lang = grp.lang AND cnt.source = grp.source AND cnt.term = kept.term),
+whole AS (SELECT lang, sum(total) AS total, any_value(v) AS v FROM grp GROUP BY lang),
+q AS (SELECT lang, term, 1 + (1000000000 * (sum(n) + 1)) // (any_value(total) + any_value(v)) AS q FROM cnt JOIN whole USING (lang) GROUP BY lang, term),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // y.p), 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL),
+term AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM term)
+WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op13_source_divergence_audit", _DIVERGENCE)
+def _op13(spark: SparkSession, folder: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, folder, "documents"))
