@@ -317,17 +317,17 @@ def _vocabulary(least: int) -> Callable:
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, total, v, block): occurrences by source; of each block its terms, without a source."""
+    """(lang, source, total, v): occurrences by source; of each block its terms, without a source."""
     for batch in batches:
         rows: list[tuple] = []
         for row in batch.to_pylist():
             sums = np.zeros(len(row["sources"]), np.int64)
             np.add.at(sums, np.frombuffer(row["source_of"], np.int32), np.frombuffer(row["n"], np.int64))
-            rows += [(row["lang"], s, int(x), 0, None) for s, x in zip(row["sources"], sums, strict=True)]
-            rows.append((row["lang"], None, 0, row["terms"].count(_END), row["block"]))
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["lang", "source", "total", "v", "block"])
+            rows += [(row["lang"], s, int(x), 0) for s, x in zip(row["sources"], sums, strict=True)]
+            rows.append((row["lang"], None, 0, row["terms"].count(_END)))
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["lang", "source", "total", "v"])
 
 
 def scaled(n: np.ndarray, size: np.ndarray | int) -> np.ndarray:
@@ -405,8 +405,8 @@ def divergence(docs: DataFrame, least: int = 3, top: int = 200, text_col: str =
     cells = spark.sparkContext.broadcast(_bitmap(kept_terms(bag, least)))
     counted = cut(_streamed(bag.mapInArrow(_counts(cells), PACKED), _vocabulary(least), PACKED), "counts")
 
-    sizes = counted.select("lang", "block", "terms", "sources", "source_of", "n").mapInArrow(
-        _sizes, "lang string, source string, total long, v long, block int")
+    sizes = counted.select("lang", "terms", "sources", "source_of", "n").mapInArrow(
+        _sizes, "lang string, source string, total long, v long")
     sizes = cut(sizes, "sizes")
     totals = sizes.filter("source is not null").groupBy("lang", "source").agg(F.sum("total").alias("total"))
     groups = bag.select("lang", "source").distinct().join(totals, ["lang", "source"], "left")
@@ -415,12 +415,14 @@ def divergence(docs: DataFrame, least: int = 3, top: int = 200, text_col: str =
     wide = groups.groupBy("lang").agg(F.sum("total").alias("all_total"), F.ceil(F.count(F.lit(1)) / TILE_SOURCES).cast("int").alias("tiles"))
     groups = cut(groups.join(wide, "lang").withColumn("own", F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int")), "groups")
 
-    # Every source meets every block of its language; a language without kept terms has block -1.
-    blocks = sizes.filter("source is null").select("lang", "block").unionByName(groups.filter("v = 0").select("lang", F.lit(-1).alias("block")).distinct())
+    # Blocks are dealt to pieces of about BLOCK_TERMS terms, and every source meets every piece.
     every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    right = groups.join(blocks, "lang").withColumn("tile", every).withColumn("mine", F.col("own") == F.col("tile"))
-    left = counted.join(groups.select("lang", "tiles").distinct(), "lang").withColumn("tile", every)
-    keys = ["lang", "block", "tile"]
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("v") / BLOCK_TERMS).cast("int"))
+    right = groups.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).withColumn("tile", every)
+    right = right.withColumn("mine", F.col("own") == F.col("tile"))
+    left = counted.join(groups.select("lang", "tiles", "v").distinct(), "lang")
+    left = left.withColumn("piece", F.pmod(F.col("block"), pieces)).withColumn("tile", every)
+    keys = ["lang", "piece", "tile"]
     found = left.select(*keys, "terms", "sources", "term_of", "source_of", "n").groupBy(*keys).cogroup(
         right.select(*keys, "source", "total", "all_total", "v", "mine").groupBy(*keys)
     ).applyInPandas(_compared(top), "lang string, source string, part string, item string, value long")
