@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -246,3 +247,73 @@ def _op13(spark: SparkSession, folder: str) -> DataFrame:
     from .divergence import divergence
 
     return divergence(table(spark, folder, "documents"))
+
+
+#: Damage, faults, the lightest repair and its lines of op12 by list functions. A weight is a string:
+#: eight digits of cost, then the audit, so the least string is the lightest.
+_REPAIRS = r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+coded AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)),
+    4294967295::BIGINT) % 20 AS fault FROM raw),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE fault WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM coded),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(role || ':' || text), copy) AS pos FROM hurt),
+told AS (
+  SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS last, role[1:1] AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+    lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM placed),
+faulty AS (
+  SELECT *, CASE WHEN last = '' THEN 1 WHEN again THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS f FROM told),
+conv AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 1) AS blank,
+    count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal,
+    list([i, CAST(f AS VARCHAR)] ORDER BY pos) AS items, list(role ORDER BY pos) AS roles, list(text ORDER BY pos) AS texts FROM faulty GROUP BY conv_id),
+step AS (
+  SELECT conv_id, items, 0 AS k, '00000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM conv
+  UNION ALL
+  SELECT conv_id, items, k + 1,
+    {D(s0)}, least({D(s1)}, CASE WHEN keeps AND i = 's' THEN {K(s0)} END),
+    least({D(j2)}, CASE WHEN keeps AND i = 'u' THEN least({K(s0)}, {K(s1)}, {K(j3)}) END, CASE WHEN keeps THEN least({R(s0)}, {R(s1)}, {R(j3)}) END),
+    least({D(j3)}, CASE WHEN keeps AND i = 'a' THEN {K(j2)} END, CASE WHEN keeps THEN {R(j2)} END)
+  FROM (
+    SELECT *, items[k + 1][1] AS i, items[k + 1][2] NOT IN ('1', '2') AS keeps, CASE WHEN items[k + 1][2] = '3' THEN 1 ELSE 0 END AS t, least(a2, {I(a3)}) AS j2, least(a3, {I(a2)}) AS j3
+    FROM (SELECT *, least(s2, {I(s0)}, {I(s1)}, {I(s3)}) AS a2, least(s3, {I(s2)}) AS a3 FROM step WHERE k < len(items)))),
+best AS (
+  SELECT conv_id, least(s0, j3) AS w FROM (
+    SELECT *, least(s3, {I(a2)}) AS j3 FROM (SELECT *, least(s2, {I(s0)}, {I(s1)}, {I(s3)}) AS a2 FROM step WHERE k = len(items)))),
+audited AS (SELECT conv.*, CAST(w[1:8] AS BIGINT) AS cost, w[9:] AS audit FROM conv JOIN best ON conv.conv_id IS NOT DISTINCT FROM best.conv_id),
+line AS (
+  SELECT conv_id, e.n, audit[e.n : e.n] AS edit, len(replace(audit[1 : e.n], 'I', '')) AS row_, len(replace(audit[1 : e.n], 'D', '')) AS out_, audit, roles, texts
+  FROM audited, LATERAL (SELECT unnest(range(1, len(audit) + 1)) AS n) e),
+kept AS (
+  SELECT *, roles[row_] AS role, bool_or(edit = 'K' AND out_ = 1 AND roles[row_][1:1] = 's') OVER (PARTITION BY conv_id) AS led FROM line WHERE edit <> 'D'),
+said AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (out_ - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN edit = 'I' THEN '' ELSE texts[row_] END, chr(10) ORDER BY n) AS lines FROM kept GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN audited ON audited.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN said ON said.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+def _edits(sql: str) -> str:
+    """Writes out {X(s)}: the weight s with the edit X after it."""
+    price = {"I": "2", "D": "3", "K": "t", "R": "2 + t"}
+    return re.sub(r"\{(\w)\((\w+)\)\}", lambda m: f"(lpad(CAST(CAST({m[2]}[1:8] AS BIGINT) + {price[m[1]]} AS VARCHAR), 8, '0') || {m[2]}[9:] || '{m[1]}')", sql)
+
+
+@query("op12_conversation_structure_repair", _edits(_REPAIRS))
+def _op12(spark: SparkSession, folder: str) -> DataFrame:
+    from .turn_repair import damage, repair
+
+    turns = table(spark, folder, "conversations")
+    return repair(damage(turns), turns)

@@ -75,7 +75,7 @@ def agenda(axioms: dict[int, Weight], rows: list[tuple[str, int]], goals: tuple[
             if goals is not None and state in goals:
                 return {state: (cost, audit)}
             out[state] = (cost, audit)
-            if goals is None and len(out) == len(KEEPS):
+            if goals is None and len(out) == len(MAKES):
                 break
         for head, price, initial in edges(row, state, rows):
             if head not in final:
@@ -110,80 +110,106 @@ class Repair:
         return self.cost + weight[0], "".join(self.audit) + weight[1]
 
 
-def _repairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, known, cost, audit) of every conversation; its rows come together and in order."""
-    last, repair, known = None, None, None
-    done: list[tuple] = []
-
-    def out() -> pa.RecordBatch:
-        columns = list(zip(*done, strict=True)) if done else [[]] * 4
-        kinds = [pa.string(), pa.bool_(), pa.int64(), pa.string()]
-        done.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["cid", "known", "cost", "audit"])
-
-    for batch in batches:
-        for name, is_known, initial, fault in zip(*(batch.column(c).to_pylist() for c in ("cid", "known", "initial", "fault")), strict=True):
-            if repair is None or (name, is_known) != (last, known):
-                if repair is not None:
-                    done.append((last, known, *repair.finish()))
-                    if len(done) >= OUT_ROWS:
-                        yield out()
-                last, known, repair = name, is_known, Repair()
-            repair.add(initial, fault)
-    if repair is not None:
-        done.append((last, known, *repair.finish()))
-    yield out()
-
-
-def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, known, repaired_sha256): the audit of a conversation comes before its rows."""
-    last, state, audit, at, digest = None, START, "", 0, None
-    done: list[tuple] = []
-
-    def put(role: str, text: str) -> None:
-        nonlocal state, first
-        if not first:
-            digest.update(b"\n")
-        first = False
-        digest.update(f"{role}:{text}".encode())
-
-    def insertions() -> None:
-        nonlocal at, state
-        while at < len(audit) and audit[at] == "I":
-            state = MAKES[state]
-            put("user" if state == USER else "assistant", "")
-            at += 1
-
-    def out() -> pa.RecordBatch:
-        columns = list(zip(*done, strict=True)) if done else [[]] * 3
-        done.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x, t) for x, t in zip(columns, [pa.string(), pa.bool_(), pa.string()], strict=True)], ["cid", "known", "repaired_sha256"])
-
-    first = True
-    for batch in batches:
-        for name, known, edits, role, text in zip(*(batch.column(c).to_pylist() for c in ("cid", "known", "audit", "role", "text")), strict=True):
-            if edits is not None:
-                if digest is not None:
-                    insertions()
-                    done.append((*last, digest.hexdigest()))
-                    if len(done) >= OUT_ROWS:
-                        yield out()
-                last, state, audit, at, digest, first = (name, known), START, edits, 0, sha256(), True
-                continue
-            insertions()
-            edit = audit[at]
-            at += 1
-            if edit == "K":
-                state = KEEPS[state, role[:1]]
-                put(role, text)
-            elif edit == "R":
-                state = MAKES[state]
-                put("user" if state == USER else "assistant", text)
-    if digest is not None:
-        insertions()
-        done.append((*last, digest.hexdigest()))
-    yield out()
+FOUND = "cid string, known boolean, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
+
+
+class _Found:
+    """What is told of one conversation, from its rows in order."""
+
+    def __init__(self) -> None:
+        self.repair = Repair()
+        self.faults = [0, 0, 0, 0]
+        self.illegal = 0
+        self.initial: str | None = None
+        self.least: int | None = None
+        self.turn: int | None = None
+        self.turns = 0
+
+    def add(self, turn: int | None, initial: str, fault: int) -> None:
+        self.repair.add(initial, fault)
+        self.faults[fault] += 1
+        if self.initial is not None and self.initial + initial not in ("su", "ua", "au"):
+            self.illegal += 1
+        self.initial = initial
+        if turn is not None and turn != self.turn:
+            self.least = turn if self.least is None else self.least
+            self.turn = turn
+            self.turns += 1
+
+    def row(self) -> tuple:
+        gaps = 0 if self.least is None else self.turn - self.least + 1 - self.turns
+        return gaps, *self.faults[BLANK:], self.illegal, *self.repair.finish()
+
+
+def _columns(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+def _streamed(new, schema: str):
+    """Conversations stream by: ``new()`` makes a helper whose add() gets each row and row() tells the result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, helper, done = None, None, []
+        for batch in batches:
+            cid, known, *rest = (c.to_pylist() for c in batch.columns)
+            for i, key in enumerate(zip(cid, known, strict=True)):
+                if key != last:
+                    if helper is not None:
+                        done.append((*last, *helper.row()))
+                        if len(done) >= OUT_ROWS:
+                            yield _columns(done, schema)
+                            done = []
+                    last, helper = key, new()
+                helper.add(*(c[i] for c in rest))
+        if helper is not None:
+            done.append((*last, *helper.row()))
+        yield _columns(done, schema)
+
+    return run
+
+
+class _Rendered:
+    """The digest of the repaired lines. The first row gives the audit, the others role and text."""
+
+    def __init__(self) -> None:
+        self.audit = ""
+        self.at = 0
+        self.state = START
+        self.digest = sha256()
+        self.empty = True
+
+    def _put(self, role: str, text: str) -> None:
+        self.digest.update((("" if self.empty else "\n") + role + ":" + text).encode())
+        self.empty = False
+
+    def _made(self, text: str) -> None:
+        self.state = MAKES[self.state]
+        self._put("user" if self.state == USER else "assistant", text)
+
+    def _inserted(self) -> None:
+        while self.audit[self.at : self.at + 1] == "I":
+            self.at += 1
+            self._made("")
+
+    def add(self, audit: str | None, role: str | None, text: str | None) -> None:
+        if audit is not None:
+            self.audit = audit
+            return
+        self._inserted()
+        edit = self.audit[self.at]
+        self.at += 1
+        if edit == "K":
+            self.state = KEEPS[self.state, role[:1]]
+            self._put(role, text)
+        elif edit == "R":
+            self._made(text)
+
+    def row(self) -> tuple:
+        self._inserted()
+        return (self.digest.hexdigest(),)
 
 
 def damage(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -195,57 +221,71 @@ def damage(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     """
     space = F.lit(" ")
     text = F.coalesce(F.col(text_col).cast("string"), space)
-    role = F.coalesce(F.col(role_col).cast("string"), space)
     key = F.concat_ws(":", F.coalesce(F.col(conv_col).cast("string"), space), F.coalesce(F.col(turn_col).cast("string"), space))
-    fault = F.pmod(F.crc32(F.encode(key, "utf-8")), F.lit(20))
     rows = turns.select(
-        F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), fault.alias("fault"),
-        F.when(fault == 4, "user").otherwise(role).alias("role"),
-        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"))
-    rows = rows.withColumn("again", F.explode(F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).when(
-        F.col("fault") == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(0)))))
-    return rows.select("conv_id", "turn", "role", "text")
+        F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), space).alias("role"),
+        text.alias("text"), F.pmod(F.crc32(F.encode(key, "utf-8")), F.lit(20)).alias("fault")).filter("fault <> 0")
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")).drop("copy")
+
+
+def _key(conv_id: Column) -> list[Column]:
+    """A conversation as (cid, known): a null id is not known."""
+    return [F.coalesce(conv_id.cast("string"), F.lit("")).alias("cid"), conv_id.isNotNull().alias("known")]
 
 
 def repair(turns: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """One row per conversation of ``turns`` (conv_id, turn, role, text), and of ``ids`` (conv_id).
+    """One row per conversation of ``turns`` (conv_id, turn, role, text), or of ``ids`` (conv_id) if given.
 
     Columns: conv_id; gaps, the turn numbers missing between the least and the greatest; blank,
     duplicate and truncated, rows by the first fault they have (no other character than ASCII white
     space; role and text of an earlier row; last such character not one of ``.!?``); illegal,
     neighbours whose role initials are not su, ua or au; cost and audit of the cheapest edits that
-    make the role initials ``(s?(ua)+)?``, of equally cheap ones the least audit; n_turns and
-    repaired_sha256 of the repaired ``role:text`` lines. Keeping is free, another role costs 2, a deletion
-    3 (the only edit of blank and duplicate rows), an empty user or assistant turn put in 2, a
-    truncated row that stays 1 more.
+    make the role initials ``(s?(ua)+)?``, of equally cheap ones the least audit; repaired_sha256 of
+    the repaired ``role:text`` lines. Keeping is free, another role costs 2, a deletion 3 (the only
+    edit of blank and duplicate rows), an empty user or assistant turn put in 2, a truncated row
+    that stays 1 more.
 
     Rows go by turn, nulls first and left out of gaps; rows of one turn by role and then by a digest
-    of their text. A null role or text is one space; a role without a first character can't be
-    kept. Null conv_ids are one conversation; repeated rows are duplicates; a very long text is read as it is.
+    of their text. A null role or text is one space; a role without characters can't be kept. Null
+    conv_ids are one conversation; repeated rows are duplicates; very long texts are taken whole.
     Conversations of ``ids`` without rows have zeros, an empty audit and the digest of nothing.
     Other columns are not read. Empty tables give no rows.
+
+    Faults are found by groups of equal rows. The agenda gets rows without texts, and the texts go
+    through one more pass for the digest, which has to be taken in order: a conversation is a
+    stream in one task, whose memory holds a character of audit for each of its rows.
     """
     space = F.lit(" ")
     rows = turns.select(
-        F.col("conv_id").cast("string").alias("cid"), F.col("conv_id").isNotNull().alias("known"), F.col("turn").cast("long").alias("turn"),
+        *_key(F.col("conv_id")), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), space).alias("role"), F.coalesce(F.col("text").cast("string"), space).alias("text"))
-    rows = rows.withColumn("mark", F.sha2(F.concat("role", F.lit(":"), "text"), 256))
-    kind = turns.schema["conv_id"].dataType
-    # Slim rows: what the agenda needs, without the texts.
-    last = F.regexp_extract("text", r"([^\x20\x09-\x0D])[\x20\x09-\x0D]*$", 1)
-    slim = rows.select(
-        "cid", "known", "turn", "role", "mark", F.substring("role", 1, 1).alias("initial"), (last == "").alias("empty"),
-        (~last.isin(".", "!", "?")).alias("open"))
-    slim = cut(slim, "slim")
-    # Of rows alike in role and text all but the first are duplicates: copies of the least place but one.
-    copies = slim.groupBy("cid", "known", "mark", "turn", "role", "initial", "empty", "open").agg(F.count(F.lit(1)).alias("n"))
-    earliest = copies.groupBy("cid", "known", "mark").agg(F.min(F.struct(F.col("turn").isNotNull(), "turn")).alias("first"))
-    same = ["cid", "known", "mark"]
-    null_safe = [copies[c].eqNullSafe(earliest[c]) for c in same]
-    joined = copies.join(earliest, null_safe[0] & null_safe[1] & null_safe[2]).select(
-        copies["*"], (F.col("first.turn").eqNullSafe(copies["turn"])).alias("first"))
-    fault = F.when(F.col("empty"), BLANK).when(~F.col("first") | (F.col("copy") > 1), DUPLICATE).when(F.col("open"), CUT_OFF).otherwise(SOUND)
-    marked = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).withColumn("fault", fault)
-    order = ["known", "cid", "turn", "role", "mark", "copy"]
-    dealt = marked.select("cid", "known", "turn", "role", "mark", "copy", "initial", "fault").repartition("cid", "known")
-    raise NotImplementedError((kind, order, dealt))
+    rows = rows.withColumn("mark", F.unhex(F.sha2(F.concat("role", F.lit(":"), "text"), 256)))
+    last = F.right(F.rtrim("text", F.lit(" \t\n\x0b\x0c\r")), F.lit(1))
+    kind = F.when(last == "", BLANK).when(last.isin(".", "!", "?"), SOUND).otherwise(CUT_OFF)
+    # Rows alike in role and text are one group; all but its first row are duplicates.
+    alike = rows.groupBy("cid", "known", "mark", "turn", "role", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    alike = cut(alike, "alike")
+    first = alike.groupBy("cid", "known", "mark").agg(F.min(F.struct(F.col("turn").isNotNull().alias("has"), "turn")).alias("first"))
+    slim = alike.join(first, ["cid", "known", "mark"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    again = ~F.col("first.turn").eqNullSafe(F.col("turn")) | (F.col("copy") > 1)
+    slim = slim.select(
+        "cid", "known", "turn", "role", "mark", F.substring("role", 1, 1).alias("initial"),
+        F.when(F.col("kind") == BLANK, BLANK).when(again, DUPLICATE).otherwise(F.col("kind")).alias("fault"))
+    # Of equal rows the one that is no duplicate comes first.
+    slim = slim.repartition("cid", "known").sortWithinPartitions("cid", "known", F.asc_nulls_first("turn"), "role", "mark", F.col("fault") == DUPLICATE)
+    found = cut(slim.select("cid", "known", "turn", "initial", "fault").mapInArrow(_streamed(_Found, FOUND), FOUND), "found")
+
+    none = F.lit(None).cast("string")
+    lines = found.select("cid", "known", "audit", none.alias("role"), none.alias("text"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast("binary").alias("mark"), F.lit(0).alias("part"))
+    lines = lines.unionByName(rows.withColumn("audit", none).withColumn("part", F.lit(1)).select(*lines.columns))
+    lines = lines.repartition("cid", "known").sortWithinPartitions("cid", "known", "part", F.asc_nulls_first("turn"), "role", "mark")
+    schema = "cid string, known boolean, repaired_sha256 string"
+    digests = lines.select("cid", "known", "audit", "role", "text").mapInArrow(_streamed(_Rendered, schema), schema)
+
+    named = (turns if ids is None else ids).select("conv_id").distinct().select("conv_id", *_key(F.col("conv_id")))
+    out = named.join(found, ["cid", "known"], "left").join(digests, ["cid", "known"], "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
