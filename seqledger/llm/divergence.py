@@ -110,7 +110,7 @@ def _coded(column: pa.Array) -> tuple[np.ndarray, list]:
 
 
 def _inside(cells: bytes, lang: bytes, prefix: bytes) -> bool:
-    at = crc32(prefix, crc32(lang + _END)) % CELLS
+    at = crc32(prefix, crc32(lang + _END)) % (8 * len(cells))
     return bool(cells[at >> 3] >> (at & 7) & 1)
 
 
