@@ -20,6 +20,7 @@ from ...schemas import LINK_SCHEMAS, ROW_DEFAULTS, SCHEMAS
 from ...session import cut
 from ..entities import Tables
 from ..grouping import allocate_ids, new_links, null_safe, number_documents, replace_rows
+from ..validate import error_rows
 
 PROJECT_KEY = ("name",)
 EXPERIMENT_KEY = (
@@ -79,6 +80,19 @@ def number(docs: DataFrame) -> DataFrame:
     return number_documents(docs.withColumn("_order", F.struct("source", content)), "_order").drop("_order")
 
 
+def readable(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents that could be read, and an error row for each of the others.
+
+    An unreadable document is not looked into any further: it has no other error.
+    """
+    if "unreadable" not in docs.columns:
+        docs = docs.withColumn("unreadable", F.lit(None).cast("string"))
+    text = F.col("unreadable")
+    detail = F.when(text == "", "no content").otherwise(F.concat_ws(" ", F.md5(text), F.substring(text, 1, 80)))
+    refused = error_rows(docs.filter(text.isNotNull()), "unreadable", "document", detail)
+    return docs.filter(text.isNull()).drop("unreadable"), refused
+
+
 def with_project(t: Tables, docs: DataFrame, project: str | None) -> DataFrame:
     """Add ``project_id`` by upper-cased name; null where no unflagged project has it."""
     names = F.upper(F.col("project_name")) if project is None else F.lit(project.upper())

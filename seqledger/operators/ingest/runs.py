@@ -21,6 +21,7 @@ from .base import (
     moment,
     number,
     place,
+    readable,
     settle_links,
     upsert_experiment,
     upsert_job,
@@ -92,9 +93,10 @@ def ingest_run_processing(
     """Insert operation, job, run, specimens, samples, experiments, readsets, files, locations,
     metrics and links of a batch of reports.  All readsets must be new; metrics are always
     inserted.  A document with an error is left out whole."""
-    docs = cut(with_project(t, number(envelopes), project), "docs")
-    errors = cut(run_processing_errors(t, docs), "errors")
-    out = Loaded(errors=errors, docs=docs.select("doc", "source"))
+    every = cut(with_project(t, number(envelopes), project), "docs")
+    docs, refused = readable(every)
+    errors = cut(run_processing_errors(t, docs).unionByName(refused), "errors")
+    out = Loaded(errors=errors, docs=every.select("doc", "source"))
     good = without_ids(docs, errors, "doc", "doc")
     stamp = moment(as_of)
 

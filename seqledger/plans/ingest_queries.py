@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import validate as v
+from ..operators.ingest import ingest_transfer
+from ..operators.ingest.base import number, readable
+from ..session import cut
 from ..sources.envelopes import read_delivery, read_pipeline_run, read_run_processing, read_transfer
 from . import reports
 from .registry import query
@@ -21,6 +27,56 @@ def _name(t, table, *cols):
     return t[table].select(F.col("id").alias(f"{table}_id"), *[F.col(c).alias(f"{table}_{c}") for c in ("name", *cols)])
 
 
+# --- documents that can't be read --------------------------------------------------------------
+
+KINDS = {"run_processing": "specimen", "transfer": "readset", "pipeline_run": "sample", "delivery": "readset"}
+
+
+def _damaged(t, kind):
+    spark = t["project"].sparkSession
+    made = {
+        "run_processing": lambda: reports.run_processing_reports(t), "transfer": lambda: reports.move_reports(t, "alpha", "bravo"),
+        "pipeline_run": lambda: reports.pipeline_reports(t), "delivery": lambda: reports.move_reports(t, "bravo", "handoff", True),
+    }
+    return reports.damaged(spark, made[kind](), KINDS[kind])
+
+
+@query("unreadable_documents", "S-2, S-3, S-4, S-5", """
+, kind AS (SELECT unnest(['run_processing', 'transfer', 'pipeline_run', 'delivery']) AS kind),
+report AS (
+  SELECT kind, r.id AS readset_id FROM kind, e_readset r
+  WHERE kind IN ('run_processing', 'pipeline_run') OR EXISTS (SELECT 1 FROM e_readset_file f WHERE f.readset_id = r.id))
+SELECT kind, readset_id, 'unreadable' AS code FROM report WHERE readset_id % 4 <> 0
+UNION ALL SELECT kind, NULL, 'unreadable' FROM kind
+""")
+def unreadable_documents(t):
+    """Error rows of cut-off, wrong-typed, senseless and empty documents of all four kinds."""
+    readers = {"run_processing": read_run_processing, "transfer": read_transfer, "pipeline_run": read_pipeline_run, "delivery": read_delivery}
+    parts = []
+    for kind, read in readers.items():
+        docs = cut(number(read(t["project"].sparkSession, _damaged(t, kind), multi_line=False)), "docs")
+        found = readable(docs)[1].join(docs.select("doc", "unreadable"), "doc")
+        asked = F.regexp_extract("unreadable", '"readset_id":([0-9]+)', 1)
+        parts.append(found.select(F.lit(kind).alias("kind"), F.when(asked != "", asked.cast("bigint")).alias("readset_id"), "code"))
+    # A part file without lines may come from an empty partition too.
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+@query("loaded_beside_unreadable", "S-3, I-16, V-4", NAMES + """
+SELECT 'location' AS entity, 'bravo:///run/' || readset_id || '/' || file_id AS what FROM named JOIN e_readset_file USING (readset_id) WHERE readset_id % 4 = 0
+UNION ALL SELECT 'error', 'unreadable ' || count(*) FROM (
+  SELECT readset_id FROM named JOIN e_readset_file USING (readset_id) WHERE readset_id % 4 <> 0 GROUP BY readset_id)
+""")
+def loaded_beside_unreadable(t):
+    """What a transfer of damaged reports puts into the tables: only what the good ones say."""
+    base = reports.loaded_runs(t)[1]
+    docs = read_transfer(t["project"].sparkSession, _damaged(t, "transfer"), multi_line=False)
+    out = ingest_transfer(base, docs.filter("unreadable IS NULL OR unreadable <> ''"), reports.AS_OF)
+    errors = out.errors.groupBy("code").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("error").alias("entity"), F.concat_ws(" ", "code", F.col("n").cast("string")).alias("what"))
+    return out.inserts["location"].select(F.lit("location").alias("entity"), F.col("uri").alias("what")).unionByName(errors)
+
+
 # --- reading --------------------------------------------------------------------------------
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import modify as m
-from ..session import scratch_path
+from ..session import cut, scratch_path
 from ..sources.envelopes import read_modifications
-from ..sources.tables import load_tables, write_tables
+from ..sources.tables import changed_buckets, load_tables, write_changes, write_tables
 from ..streaming import stream_ingest
 from . import reports
 from .registry import query
@@ -241,8 +241,7 @@ def read_modification_requests(t):
 
 
 @query("written_catalog", "S-7, S-1", """
-SELECT 'location' AS name, count(*) AS n, count(*) FILTER (WHERE id % 3 = 0 OR deleted) AS deleted FROM e_location
-UNION ALL SELECT 'file', count(*), 0 FROM e_file
+SELECT 'location' AS name, id, deleted OR id % 3 = 0 AS deleted, uri AS what FROM e_location UNION ALL SELECT 'file', id, deleted, name FROM e_file
 """)
 def written_catalog(t):
     """Two versions, the second with one changed table; a dry run in between."""
@@ -254,15 +253,36 @@ def written_catalog(t):
     write_tables(spark, base, {"file": t["file"].filter(F.lit(False))}, dry_run=True)
     write_tables(spark, base, out.changed)
     last = load_tables(spark, base)
-    parts = [
-        last[n].agg(F.count(F.lit(1)).alias("n"), F.count_if("deleted").alias("deleted")).select(F.lit(n).alias("name"), "n", "deleted")
-        for n in ("location", "file")
-    ]
-    return parts[0].unionByName(parts[1])
+    location = last["location"].select(F.lit("location").alias("name"), "id", "deleted", F.col("uri").alias("what"))
+    return location.unionByName(last["file"].select(F.lit("file").alias("name"), "id", "deleted", F.col("name").alias("what")))
+
+
+@query("revived_location_bucket", "S-7, S-1, I-20", """
+, one AS (SELECT max(id) AS id FROM e_location WHERE deleted OR id % 3 = 0)
+SELECT 'row' AS part, l.id, (l.deleted OR l.id % 3 = 0) AND l.id <> one.id AS flag, l.id % 32 AS bucket FROM e_location l, one
+UNION ALL SELECT 'old row', l.id, l.deleted OR l.id % 3 = 0, l.id % 32 FROM e_location l
+UNION ALL SELECT 'bucket', NULL, l.id % 32 = any_value(one.id) % 32, l.id % 32 FROM e_location l, one GROUP BY l.id % 32
+""")
+def revived_location_bucket(t):
+    """One location revived in a catalog: the rows, those of the version before, and which buckets were written."""
+    spark = t["project"].sparkSession
+    base = scratch_path(spark, "catalog")
+    gone = t["location"].withColumn("deleted", F.col("deleted") | (F.col("id") % 3 == 0))
+    write_tables(spark, base, {"location": gone}, buckets=32)
+    one = load_tables(spark, base)["location"].filter("deleted").orderBy(F.desc("id")).limit(1)
+    version = write_changes(spark, base, updated={"location": cut(one.withColumn("deleted", F.lit(False)), "revived")})
+
+    def rows(part, version=None):
+        found = load_tables(spark, base, version)["location"]
+        return found.select(F.lit(part).alias("part"), "id", F.col("deleted").alias("flag"), F.expr("id % 32").alias("bucket"))
+
+    written = changed_buckets(spark, base, version).select(
+        F.lit("bucket").alias("part"), F.lit(None).cast("bigint").alias("id"), F.col("written").alias("flag"), F.col("bucket").cast("bigint").alias("bucket"))
+    return rows("row").unionByName(rows("old row", version - 1)).unionByName(written)
 
 
 @query("streamed_transfers", "I-20, I-16", """
-SELECT endpoint, count(*) AS n FROM e_readset_file, (VALUES ('alpha'), ('bravo')) e(endpoint) GROUP BY 1
+SELECT endpoint, endpoint || ':///run/' || readset_id || '/' || file_id AS uri FROM e_readset_file, (VALUES ('alpha'), ('bravo')) e(endpoint)
 """)
 def streamed_transfers(t):
     """Transfer reports arriving as files, loaded by a stream into a catalog on disk; started
@@ -276,4 +296,4 @@ def streamed_transfers(t):
             spark, folder, "transfer", base, f"{base}-checkpoint", multi_line=False, as_of=reports.AS_OF
         )
         stream.awaitTermination()
-    return load_tables(spark, base)["location"].groupBy("endpoint").agg(F.count(F.lit(1)).alias("n"))
+    return load_tables(spark, base)["location"].select("endpoint", "uri")

@@ -181,6 +181,22 @@ def empty_with_projects(t: Tables) -> Tables:
     return {**empty, "project": new}
 
 
+def damaged(spark, path: str, level: str) -> str:
+    """The reports of ``path`` with three of four made unreadable: cut off, with a number where the
+    list ``level`` belongs, or no JSON at all; and a file without content."""
+    lines = spark.read.text(path)
+    number = F.regexp_extract("value", '"source":"0*([0-9]+)"', 1).cast("bigint")
+    head = F.concat(F.lit('{"readset_id":'), number.cast("string"), F.lit(","))
+    rest = F.substring("value", F.lit(2), F.length("value"))
+    kind = number % 4
+    broken = F.when(kind == 0, F.col("value")).when(kind == 1, F.concat(head, F.substring(rest, F.lit(1), F.floor(F.length(rest) / 2).cast("int")))).when(
+        kind == 2, F.concat(head, F.lit(f'"{level}":7}}'))).otherwise(F.concat(F.lit("lost "), head))
+    out = scratch_path(spark, "damaged")
+    lines.select(broken.alias("value")).write.text(out)
+    lines.select("value").filter(F.lit(False)).coalesce(1).write.mode("append").text(out)
+    return out
+
+
 def loaded_runs(t: Tables) -> tuple[Loaded, Tables]:
     """Run-processing reports loaded into tables that hold projects only."""
     def make():

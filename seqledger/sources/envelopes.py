@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 _FILE = (
     "location_uri string, file_name string, file_md5sum string, file_deliverable boolean, "
     "file_extra_metadata string"
@@ -71,15 +73,50 @@ ENVELOPE_SCHEMAS = {
 }
 
 
+def envelope_reader(reader, kind: str, multi_line: bool = True):
+    """A batch or stream reader set up for one kind. What it can't parse comes as a document of
+    its own whose ``unreadable`` holds the text; values of a wrong type count as such."""
+    schema = f"{ENVELOPE_SCHEMAS[kind]}, unreadable string"
+    return reader.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "unreadable")
+
+
 def read_envelopes(spark: SparkSession, path: str, kind: str, multi_line: bool = True) -> DataFrame:
     """Documents of one kind with ``source``, a text that orders them within a batch.
 
+    ``unreadable`` is null for a document that was read; else it holds the text that is cut off,
+    no JSON object, or of other types than the kind has, and is empty for a file without content.
+    The loaders refuse such documents. An array without documents is none, and what follows the
+    first value of a file is not looked at.
+
     ``multi_line=False`` reads one document per line, which large drops should use: such
-    files split across tasks.
+    files split across tasks, and a broken line does not take the others of its file with it.
+    """
+    docs = envelope_reader(spark.read, kind, multi_line).json(path).withColumn("source", F.col("_metadata.file_path"))
+    return docs.unionByName(_without_content(spark, path, docs))
+
+
+def _without_content(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
+    """A document for each file that has no line but blank ones, which the parser passes over."""
+    lines = spark.read.text(path)
+    # A scan leaves out files of no length, so the names come from the listing the driver has made.
+    # It writes local paths with three slashes, the scan with one.
+    files = spark.createDataFrame([(f,) for f in lines.inputFiles()], "source string").withColumn("source", F.regexp_replace("source", "^file:/+", "file:/"))
+    filled = lines.filter(F.col("value").rlike(r"\S")).select(F.col("_metadata.file_path").alias("source")).distinct()
+    empty = files.join(filled, "source", "left_anti")
+    given = {"source": F.col("source"), "unreadable": F.lit("")}
+    return empty.select(*[given.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in docs.schema.fields])
+
+
+def quarantine(docs: DataFrame) -> DataFrame:
+    """(source, digest, n_chars, text) of the documents that could not be read, to be kept apart.
+
+    Source and digest name a document, so the rows of several readings can be merged.
     """
-    schema = ENVELOPE_SCHEMAS[kind]
-    docs = spark.read.schema(schema).option("multiLine", multi_line).json(path)
-    return docs.withColumn("source", F.col("_metadata.file_path"))
+    # Written first, as the parser tells what it can't read only when it reads all columns.
+    broken = cut(docs, "read").filter(F.col("unreadable").isNotNull())
+    return broken.select(
+        "source", F.md5("unreadable").alias("digest"), F.char_length("unreadable").cast("bigint").alias("n_chars"),
+        F.col("unreadable").alias("text"))
 
 
 def read_run_processing(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

@@ -11,7 +11,8 @@ from seqledger.operators import grouping as g
 from seqledger.operators import ingest
 from seqledger.operators.ingest.base import moment
 from seqledger.operators.ingest.versions import version_metrics
-from seqledger.sources import read_delivery, read_pipeline_run, read_run_processing, read_transfer
+from seqledger.sources import quarantine, read_delivery, read_pipeline_run, read_run_processing, read_transfer
+from seqledger.sources.envelopes import read_envelopes
 from seqledger.sources.tables import load_tables, write_tables
 from seqledger.streaming import stream_ingest
 
@@ -315,3 +316,26 @@ def test_a_version_is_written_once(spark, loaded, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "manifest", lambda *a: None)  # a writer that has not seen version 1
     with pytest.raises(tables.ConflictError):
         write_tables(spark, path, {"project": loaded["project"]})
+
+
+KINDS = {"run_processing": ("specimen", ingest.ingest_run_processing), "transfer": ("readset", ingest.ingest_transfer),
+         "pipeline_run": ("sample", ingest.ingest_pipeline_run), "delivery": ("readset", ingest.ingest_delivery)}
+
+
+@pytest.mark.parametrize("kind", list(KINDS))
+def test_unreadable_files_are_refused_and_insert_nothing(spark, loaded, tmp_path, kind):
+    level, load = KINDS[kind]
+    folder = tmp_path / kind
+    folder.mkdir()
+    bad = {"a.json": '{"project_name": "demo", "%s": [' % level, "b.json": '{"project_name": "demo", "%s": 7}' % level, "c.json": "",
+           "d.json": " \n\t", "e.json": '"text"', "g.json": "no json"}
+    for name, text in bad.items():
+        (folder / name).write_text(text)
+    (folder / "z.json").write_text("[]")
+    docs = read_envelopes(spark, str(folder), kind)
+    out = load(loaded, docs, AS_OF, project="demo")
+    errors = out.errors.join(out.docs, "doc").collect()
+    assert {(r["source"].rsplit("/", 1)[1], r["code"], r["entity"]) for r in errors} == {(n, "unreadable", "document") for n in bad}
+    assert all(df.count() == 0 for df in out.inserts.values()) and all(df.count() == 0 for df in out.updates.values())
+    kept = {r["source"].rsplit("/", 1)[1]: r for r in quarantine(docs).collect()}
+    assert set(kept) == set(bad) and kept["a.json"]["text"] == bad["a.json"] and kept["c.json"]["n_chars"] == 0
