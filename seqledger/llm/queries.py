@@ -82,14 +82,23 @@ ranked AS (
   SELECT *, sum(length(l) + 1) OVER (PARTITION BY r ORDER BY pos) - length(l) - 1 AS first_char,
     len(string_split(unit, ' ')) >= 8 AND dense_rank() OVER (PARTITION BY unit ORDER BY doc_id, same, pos) > 1 AS gone
   FROM line),
+shared AS (SELECT unit FROM ranked WHERE gone GROUP BY unit),
+run AS (
+  SELECT r, CASE WHEN s.unit IS NOT NULL THEN len(string_split(ranked.unit, ' ')) END AS words,
+    sum(CASE WHEN s.unit IS NULL AND ranked.unit <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY pos) AS g
+  FROM ranked LEFT JOIN shared s ON s.unit = ranked.unit),
+longest AS (
+  SELECT r, sum(n) AS n_repeated, max(words) AS longest_repeat
+  FROM (SELECT r, g, count(words) AS n, coalesce(sum(words), 0) AS words FROM run GROUP BY r, g) GROUP BY r),
 summed AS (
   SELECT r, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(l)) FILTER (gone), 0) AS removed_chars,
     coalesce(string_agg(CAST(first_char AS BIGINT)::VARCHAR || '-' || CAST(first_char + length(l) AS BIGINT)::VARCHAR, ',' ORDER BY pos) FILTER (gone), '') AS removed_spans,
     coalesce(string_agg(l, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS rest
   FROM ranked GROUP BY r)
 SELECT doc_id, CASE WHEN n_units IS NULL THEN text ELSE rest END AS text, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units,
-  CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(removed_chars, 0) AS BIGINT) AS removed_chars, coalesce(removed_spans, '') AS removed_spans
-FROM row_ LEFT JOIN summed USING (r)
+  CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(removed_chars, 0) AS BIGINT) AS removed_chars, coalesce(removed_spans, '') AS removed_spans,
+  CAST(coalesce(n_repeated, 0) AS BIGINT) AS n_repeated, CAST(coalesce(longest_repeat, 0) AS BIGINT) AS longest_repeat
+FROM row_ LEFT JOIN summed USING (r) LEFT JOIN longest USING (r)
 """
 
 

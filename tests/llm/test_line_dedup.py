@@ -9,10 +9,12 @@ def plain(rows, least=8):
     """Result of every row: units in rank order, the first of a normal form stays."""
     ranked = sorted({(i is not None, i, t) for i, t in rows if t}, key=lambda x: (x[0], x[1] or 0))
     assert len({(i, t) for _, i, t in ranked}) == len({i for _, i, _ in ranked})
-    seen, gone = {}, {}
+    seen, gone, met = {}, {}, {}
     for _, i, t in ranked:
         for at, line in enumerate(t.split("\n")):
             key = " ".join(line.translate(LOWER).split())
+            if len(key.split()) >= least:
+                met.setdefault(key, set()).add((i, t, at))
             if len(key.split()) >= least and seen.setdefault(key, (i, t, at)) != (i, t, at):
                 gone.setdefault((i, t), set()).add(at)
     out = []
@@ -24,7 +26,15 @@ def plain(rows, least=8):
             if k in drop:
                 spans.append(f"{start}-{start + len(x)}")
             start += len(x) + 1
-        out.append((i, text, len(lines), len(drop), sum(len(lines[k]) for k in drop), ",".join(spans)))
+        repeated = run = longest = 0
+        for k, x in enumerate(lines):
+            words = x.translate(LOWER).split()
+            if len(met.get(" ".join(words), ())) > 1:
+                repeated, run = repeated + 1, run + len(words)
+            elif words:
+                run = 0
+            longest = max(longest, run)
+        out.append((i, text, len(lines), len(drop), sum(len(lines[k]) for k in drop), ",".join(spans), repeated, longest))
     return sorted(out, key=repr)
 
 
