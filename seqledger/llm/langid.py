@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut
-from .words import LOWER, chunks, mix
+from .words import LOWER, chunks, mix, parts
 
 #: Longest context in bytes, and slots of a worker's memory of code lengths.
-ORDER, SLOTS = 4, 1 << 19
+ORDER, SLOTS = 4, 1 << 18
 #: The learning sample: so many texts of each language, of at most so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS = 250, 20_000
 #: Languages whose shares are sent to all tasks; more are joined by a shuffle.
@@ -151,7 +151,7 @@ def predictions(shared, column: pa.Array) -> tuple[list[str], list[float]]:
     if _scorers.get("model") is not model:
         _scorers.update(model=model, scorer=Scorer(model))
     scorer: Scorer = _scorers["scorer"]
-    for low, _, data, offsets in chunks(column, 1 << 19):
+    for low, _, data, offsets in chunks(column, 1 << 17):
         bits = scorer.lengths(data, offsets)
         letters = _has_letter(data, offsets)
         best = bits.argmin(axis=1)
@@ -196,7 +196,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     shared = learn(docs, id_col, text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             langs, scores = predictions(shared, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              ["doc_id", "held_out", "lang_pred", "score"])
@@ -214,9 +214,11 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             langs, scores = predictions(shared, batch.column(names.index("text")))
             keep = [lang != "und" and s >= least for lang, s in zip(langs, scores, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        # The next stage may run in the same worker.
+        _scorers.clear()
 
     return docs.mapInArrow(run, docs.schema)

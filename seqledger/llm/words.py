@@ -12,8 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
-PIECE = 1 << 20
+CHUNK = 1 << 19
+PIECE = 1 << 18
+#: Rows of a batch that are handled, and told of, at a time.
+PART = 1024
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers: dict[str, np.ndarray] = {}
 
@@ -39,6 +41,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of ``PART`` rows; after each batch Arrow gives back what it holds unused."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, PART):
+            yield batch.slice(low, PART)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, row offsets) of runs of rows; null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
