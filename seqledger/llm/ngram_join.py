@@ -3,7 +3,7 @@
 Documents with the same set are one set of the join. Sets meet in tiles: one tile holds the
 sets of one size band, and of the band below, that share a shingle of their prefixes. Prefixes
 take the rare shingles first; any two sets that reach the threshold share one, so no link is
-lost. Inside a tile hashed parity bitmaps bound the overlap from above, and once more wider ones
+lost. Inside a tile the place of the shared shingle and hashed parity bitmaps bound the overlap from above, and once more wider ones
 for the pairs of all tiles; only pairs within the bounds go on to the exact intersection of their
 sorted arrays.
 """
@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .components import components
-from .words import mix, shingle_sets
+from .words import mix, parts, shingle_sets
 
 #: Longs of the bitmap that goes through the tiles, and cells at most of the wide one, which has
 #: about one cell for each member and is looked up for the pairs that a tile lets through.
-BITMAP, WIDE = 4, 1 << 16
+BITMAP, WIDE = 8, 1 << 16
 #: A shingle counted so often in one chunk of texts is reported as frequent, and so many of the
 #: most frequent are known to all tasks. Both only order the prefixes; the links are the same.
 SEEN, FREQUENT = 3, 1 << 17
@@ -71,7 +71,7 @@ def _summaries(k: int):
     """Rows of two kinds: (doc_id, n, a, b) of every document, (shingle, count) of frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             ids = batch.column(0).to_pylist()
             rows: list[tuple] = []
             waiting: list[np.ndarray] = []
@@ -112,7 +112,7 @@ def _prefixes(k: int, percent: int, frequent, counts):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = frequent.value, counts.value
-        for batch in batches:
+        for batch in parts(batches):
             ids = batch.column(0).to_pylist()
             rows: list[tuple] = []
             for i, values in shingle_sets(batch.column(1), k):
@@ -139,7 +139,7 @@ def _prefixes(k: int, percent: int, frequent, counts):
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) with the text compressed: the exact check moves texts twice."""
     press = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
+    for batch in parts(batches):
         packed = [press((x or "").encode()) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "text"])
 
@@ -219,6 +219,16 @@ def _bounded(p: str, q: str, percent: int) -> str:
     return f"{sizes} AND {100 + percent} * {both} >= {2 * percent} * ({p}.n + {q}.n)"
 
 
+def _placed(p: str, q: str, percent: int) -> str:
+    """SQL: what stands from the shared shingle on can reach the threshold.
+
+    In the tile of the first shingle two sets share, by the common order of prefixes, all that
+    they share stands there or behind. So a linked pair passes in that tile at least.
+    """
+    rest = f"least({p}.n - {p}.pos, {q}.n - {q}.pos)"
+    return f"{100 + percent} * {rest} >= {percent} * ({p}.n + {q}.n)"
+
+
 def ngram_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
@@ -252,7 +262,7 @@ def ngram_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "
     names = sets.select("a", "b", "id")
 
     # Shingles that the prefixes of two sets share.
-    entries = sets.select("id", F.explode("prefix").alias("h"))
+    entries = sets.select("id", F.posexplode("prefix").alias("pos", "h"))
     shared = entries.groupBy("h").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last")
     entries = cut(entries.join(shared.select("h", "lead"), "h"), "entries")
     slim = sets.drop("prefix", "wide", "a", "b")
@@ -270,12 +280,14 @@ def ngram_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "
     groups = components(links, "x", "y")
 
     # Then all pairs of a tile that are not in one group yet.
-    marked = entries.select("h", "id").join(slim, "id").join(groups, F.col("id") == F.col("node"), "left")
-    marked = marked.select("h", "id", "n", *[f"s{i}" for i in range(BITMAP)], F.coalesce("component", "id").alias("g"))
+    marked = entries.select("h", "id", "pos").join(groups, F.col("id") == F.col("node"), "left")
+    marked = marked.select("h", "id", "pos", F.coalesce("component", "id").alias("g"))
     mixed = marked.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi")
+    # Bitmaps join what is left only after the tiles of a single group are out.
+    marked = marked.join(mixed.select("h"), "h", "left_semi").join(slim, "id")
     step = float(Fraction(100, percent))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step)) + F.lit(1e-9))
-    marked = cut(marked.join(mixed.select("h"), "h", "left_semi").withColumn("band", band), "tiles")
+    marked = cut(marked.withColumn("band", band), "tiles")
     width = marked.groupBy("h", "band").agg(F.count(F.lit(1)).alias("rows"))
     split = F.ceil(F.col("rows") / TILE_ROWS).cast("int")
     left = marked.join(width.select("h", "band", split.alias("parts")), ["h", "band"])
@@ -287,7 +299,7 @@ def ngram_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "
     p, q = left.alias("p"), near.alias("q")
     met = p.join(q, F.expr(
         "p.h = q.h AND p.band = q.tile AND p.part = q.part AND p.g <> q.g "
-        f"AND (p.n < q.n OR (p.n = q.n AND p.id < q.id)) AND {bounded}"))
+        f"AND (p.n < q.n OR (p.n = q.n AND p.id < q.id)) AND {_placed('p', 'q', percent)} AND {bounded}"))
     pairs = cut(met.select(F.least("p.id", "q.id").alias("x"), F.greatest("p.id", "q.id").alias("y")).distinct(), "pairs")
     more = _check(pairs, sets, docs, k, percent)
     groups = cut(components(links.unionByName(more), "x", "y"), "groups")
