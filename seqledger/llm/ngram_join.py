@@ -3,9 +3,10 @@
 Documents with the same set are one set of the join. Sets meet in tiles: one tile holds the
 sets of one size band, and of the band below, that share a shingle of their prefixes. Prefixes
 take the rare shingles first; any two sets that reach the threshold share one, so no link is
-lost. Inside a tile the place of the shared shingle and hashed parity bitmaps bound the overlap from above, and once more wider ones
-for the pairs of all tiles; only pairs within the bounds go on to the exact intersection of their
-sorted arrays.
+lost. Inside a tile the place of the shared shingle and hashed parity bitmaps bound the overlap
+from above, and once more wider ones for the pairs of all tiles; only pairs within the bounds go
+on to the exact intersection of their sorted arrays. A pair is left to an earlier tile when one of
+the last few shingles before this one is shared as well.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import cut
 from .components import components
@@ -31,6 +33,8 @@ BITMAP, WIDE = 8, 1 << 16
 SEEN, FREQUENT = 3, 1 << 17
 #: Rows of one side of a tile that one task takes before the tile is split.
 TILE_ROWS = 2048
+#: Shingles of earlier tiles that a set carries into a tile.
+BEFORE = 16
 #: Set ids that are sent to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -229,6 +233,15 @@ def _placed(p: str, q: str, percent: int) -> str:
     return f"{100 + percent} * {rest} >= {percent} * ({p}.n + {q}.n)"
 
 
+def _earlier(p: str, q: str) -> str:
+    """SQL: the sets are known to meet in an earlier tile.
+
+    The first tile in which two sets meet has none of their shingles before it in common, so it
+    never leaves them to another.
+    """
+    return f"coalesce(arrays_overlap({p}.before, {q}.before), false)"
+
+
 def ngram_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
@@ -284,7 +297,11 @@ def ngram_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "
     marked = marked.select("h", "id", "pos", F.coalesce("component", "id").alias("g"))
     mixed = marked.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi")
     # Bitmaps join what is left only after the tiles of a single group are out.
-    marked = marked.join(mixed.select("h"), "h", "left_semi").join(slim, "id")
+    marked = marked.join(mixed.select("h"), "h", "left_semi")
+    # Two sets of one doc_id can't be told apart in a tile, so they carry nothing.
+    marked = marked.join(slim.withColumn("twins", F.count(F.lit(1)).over(Window.partitionBy("id"))), "id")
+    last = F.collect_list("h").over(Window.partitionBy("id").orderBy("pos").rowsBetween(-BEFORE, -1))
+    marked = marked.withColumn("before", F.when(F.col("twins") == 1, last)).drop("twins")
     step = float(Fraction(100, percent))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step)) + F.lit(1e-9))
     marked = cut(marked.withColumn("band", band), "tiles")
@@ -299,7 +316,7 @@ def ngram_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "
     p, q = left.alias("p"), near.alias("q")
     met = p.join(q, F.expr(
         "p.h = q.h AND p.band = q.tile AND p.part = q.part AND p.g <> q.g "
-        f"AND (p.n < q.n OR (p.n = q.n AND p.id < q.id)) AND {_placed('p', 'q', percent)} AND {bounded}"))
+        f"AND (p.n < q.n OR (p.n = q.n AND p.id < q.id)) AND {_placed('p', 'q', percent)} AND {bounded} AND NOT {_earlier('p', 'q')}"))
     pairs = cut(met.select(F.least("p.id", "q.id").alias("x"), F.greatest("p.id", "q.id").alias("y")).distinct(), "pairs")
     more = _check(pairs, sets, docs, k, percent)
     groups = cut(components(links.unionByName(more), "x", "y"), "groups")
@@ -312,17 +329,35 @@ def ngram_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+#: Further texts of a repeated doc_id are named by numbers from here on.
+FURTHER = 1 << 62
+
+
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with all its columns: of each group the document of the least doc_id.
 
-    Of rows that repeat a doc_id one stays; rows without doc_id all stay.
+    Rows that repeat a doc_id are documents of their own where their texts differ: the text of the
+    least hash goes by the doc_id, the others rank behind all documents of other ids. Of rows that
+    repeat a doc_id and its text one stays. Rows without doc_id, empty and null texts of an id of
+    their own stay; an empty table gives no rows. doc_id has to be below 2^62.
     """
-    found = cut(ngram_groups(docs.select("doc_id", "text"), k, percent).select("doc_id", "component_id"), "groups")
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    name = "node"
+    while name in docs.columns:
+        name += "_"
+    again = docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id")
+    repeated = not again.isEmpty()
+    node, text = F.col("doc_id").cast("long"), F.xxhash64("text")
+    rows = docs.withColumn(name, node)
+    if repeated:
+        least = docs.join(again, "doc_id", "left_semi").groupBy(node.alias(name)).agg(F.min(text).alias("low"))
+        further = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(FURTHER - 1)).bitwiseOR(F.lit(FURTHER))
+        own = least.select(F.col(name).alias("i"), F.col("low").alias("l"))
+        pairs = rows.select(F.struct(*docs.columns).alias("row"), name, text.alias("t"), further.alias("f"))
+        rows = pairs.join(own, F.col(name) == F.col("i"), "left").select("row.*", F.when(F.col("t") != F.col("l"), F.col("f")).otherwise(F.col(name)).alias(name))
+    found = cut(ngram_groups(rows.select(name, "text"), k, percent, name).select("doc_id", "component_id"), "groups")
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
     few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    named = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.filter("doc_id is null"))
+    kept = rows.join(F.broadcast(gone) if few else gone, name, "left_anti")
+    if repeated:
+        kept = kept.filter(F.col(name).isNotNull()).dropDuplicates([name]).unionByName(kept.filter(F.col(name).isNull()))
+    return kept.select(*docs.columns)

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from helpers import frame, text_of, vocabulary, words
+from pyspark.sql import functions as F
 
 from seqledger.llm import ngram_join
 from seqledger.llm.components import components
@@ -98,6 +99,30 @@ def test_one_document_of_each_group_stays(spark, rows):
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 2
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(8)
+    vocab = vocabulary(900)
+    a, b, c = (text_of(rng, vocab, 40) for _ in range(3))
+    near = c.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, c), (3, near), (4, None), (4, None), (None, a)]
+    docs = frame(spark, rows).withColumns({"node": F.lit("x"), "i": F.lit(1), "low": F.lit(2)})
+    kept = keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    first = [t for i, t in got if i == 3]
+    assert len(first) == 1 and first[0] in (c, near)
+    # Of the two places of text a, that under the lesser name stays: 1 where a goes by the id, else 2.
+    assert sorted((t for i, t in got if i in (1, 2)), key=repr) == sorted((a, b)) and (1, b) in got
+    assert [i for i, _ in got if i in (4, None)] == [4, None]
+
+
+def test_pairs_are_left_to_the_first_tile_only(spark, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BEFORE", 1)
+    assert got(frame(spark, rows), k=2, percent=50) == plain(rows, 2, 50)
+    monkeypatch.setattr(ngram_join, "BEFORE", 1000)
+    assert got(frame(spark, rows), k=2, percent=50) == plain(rows, 2, 50)
+
+
 def test_components_of_a_path_a_star_and_loose_ends(spark):
     edges = [(i, i + 1) for i in range(10, 40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (None, 3), (40, 100)]
     found = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
