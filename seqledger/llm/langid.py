@@ -22,10 +22,11 @@ from pyspark.sql.window import Window
 from ..session import cut
 from .words import LOWER, chunks, mix, parts
 
-#: Longest context in bytes, and slots of a worker's memory of code lengths.
-ORDER, SLOTS = 4, 1 << 18
-#: The learning sample: so many texts of each language, of at most so many characters.
-SAMPLE_DOCS, SAMPLE_CHARS = 250, 20_000
+#: Longest context in bytes, and bytes of a worker's memory of code lengths, and of one piece of work.
+ORDER, MEMORY, WORK = 4, 8 << 20, 4 << 20
+#: The learning sample: so many texts of each language, of so many characters each; of a longer
+#: text so many pieces at even distances that make up that length.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_PIECES = 250, 20_000, 10
 #: Languages whose shares are sent to all tasks; more are joined by a shuffle.
 BROADCAST_LANGS = 10_000
 LETTER = np.zeros(256, bool)
@@ -109,23 +110,35 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.keys = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
-        self.bits = np.zeros((SLOTS, len(model.langs)))
+        self.slots = np.uint64(max(256, MEMORY // (8 * len(model.langs))))
+        self.keys = np.full(int(self.slots), np.iinfo(np.uint64).max, np.uint64)
+        self.bits = np.zeros((int(self.slots), len(model.langs)))
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Bits of each row under each language; long rows are worked through in pieces."""
         keys = _keys(LOWER[data], offsets)
-        slot = (mix(keys) % np.uint64(SLOTS)).astype(np.int64)
+        out = np.zeros((len(offsets) - 1, len(self.model.langs)))
+        step = max(256, WORK // (8 * len(self.model.langs)))
+        for low in range(0, len(keys), step):
+            part = keys[low : low + step]
+            first, last = int(np.searchsorted(offsets, low, "right")) - 1, int(np.searchsorted(offsets, low + len(part)))
+            at = np.clip(offsets[first : last + 1] - low, 0, len(part))
+            out[first:last] += self._sums(part, at)
+        return out
+
+    def _sums(self, keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        slot = (mix(keys) % self.slots).astype(np.int64)
         miss = np.flatnonzero(self.keys[slot] != keys)
         each = self.bits[slot]
         if len(miss):
             new, back = np.unique(keys[miss], return_inverse=True)
             bits = costs(self.model, new)
             each[miss] = bits[back]
-            at = (mix(new) % np.uint64(SLOTS)).astype(np.int64)
+            at = (mix(new) % self.slots).astype(np.int64)
             self.bits[at] = bits
             self.keys[at] = new
             # Of new keys that share a slot, the last one written stays with its own bits.
-        total = np.zeros((len(data) + 1, each.shape[1]))
+        total = np.zeros((len(keys) + 1, each.shape[1]))
         np.cumsum(each, axis=0, out=total[1:])
         return total[offsets[1:]] - total[offsets[:-1]]
 
@@ -162,24 +175,37 @@ def predictions(shared, column: pa.Array) -> tuple[list[str], list[float]]:
     return langs, scores
 
 
+def _excerpt(text):
+    """The text, or ``SAMPLE_PIECES`` pieces of it at even distances when it exceeds the sample's length."""
+    size = SAMPLE_CHARS // SAMPLE_PIECES
+    room = F.length(text) - size
+    pieces = [F.substring(text, F.floor(room * i / (SAMPLE_PIECES - 1)).cast("int") + 1, F.lit(size)) for i in range(SAMPLE_PIECES)]
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *pieces))
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
     """The frozen model as a broadcast; None in it when no text can be learned from.
 
-    Learns from texts of 1 to SAMPLE_CHARS characters with a language and a doc_id whose
-    crc32 mod 3 is not 1: of each language the SAMPLE_DOCS texts of the least hash of their id. A
-    first count per language thins the rows by hash, so the ranking window is small at any size.
+    Learns from texts with a language and a doc_id whose crc32 mod 3 is not 1: of each language
+    the SAMPLE_DOCS doc_ids of the least hash, each with its text of the least hash, of which at
+    most SAMPLE_CHARS characters are read, from all of its length. A first count of distinct ids
+    per language thins the rows by hash, so the ranking window is small at any size.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.filter("lang is not null and length(text) between 1 and " + str(SAMPLE_CHARS))
+    rows = rows.filter("lang is not null and length(text) > 0")
     rows = rows.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     rows = rows.withColumn("order", F.xxhash64(F.lit(10), "doc_id"))
-    share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).withColumn("share", F.least(F.lit(1.0), 3.0 * SAMPLE_DOCS / F.col("rows")))
+    # Three times the ids that are wanted pass, so a count within some hundredths is enough.
+    ids = F.approx_count_distinct("order", 0.05)
+    share = rows.groupBy("lang").agg(ids.alias("ids")).withColumn("share", F.least(F.lit(1.0), 3.0 * SAMPLE_DOCS / F.col("ids")))
     share = cut(share.select("lang", "share"), "shares")
     # Rows are thinned where they are read, so no text is shuffled that can't be in the sample.
     few = share.count() <= BROADCAST_LANGS
     thin = rows.join(F.broadcast(share) if few else share, "lang").filter(F.pmod("order", F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", F.xxhash64("text")))
-    sample = thin.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS).select("lang", "text").collect()
+    thin = thin.withColumn("text_hash", F.xxhash64("text")).withColumn("text", _excerpt(F.col("text")))
+    one = thin.groupBy("lang", "order", "doc_id").agg(F.min_by("text", "text_hash").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
+    sample = one.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS).select("lang", "text").collect()
     sample.sort()
     return docs.sparkSession.sparkContext.broadcast(fit([(r["lang"], r["text"]) for r in sample]) if sample else None)
 
@@ -209,7 +235,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` with all its columns, without the rows that are ``und`` or scored below ``least``."""
+    """``docs`` with all its columns, without the rows that are ``und`` or scored below ``least``.
+
+    Null and empty texts go with them, repeated rows are judged alike, and nothing stays of a table
+    that nothing can be learned from. ``docs`` has the columns doc_id, text and lang.
+    """
     shared = learn(docs)
     names = docs.columns
 

@@ -73,6 +73,36 @@ def test_held_out_texts_are_told_apart(spark):
     assert alone["held_out"] is False and alone["lang_pred"] == "aa"
 
 
+def test_repeated_rows_and_long_texts_lose_no_language(spark):
+    rng = random.Random(6)
+
+    def text(lang, n):
+        return " ".join(rng.choice(TEXTS[lang].split()) for _ in range(n))
+
+    free = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    copy = text("bb", 20)
+    data = [(i, text("aa", 20), "aa") for i in free[:60]] + [(free[60], copy, "bb")] * 1000 + [(free[61], text("bb", 20), "bb")]
+    out = identify(frame(spark, data)).filter(f"doc_id in ({free[60]}, {free[61]})").select("lang_pred").collect()
+    assert len(out) == 1001 and {r[0] for r in out} == {"bb"}
+    long = [(i, text("aa", 20), "aa") for i in free[:60]] + [(i, text("bb", 5000), "bb") for i in free[60:80]]
+    assert all(len(t) > 20_000 for _, t, lang in long if lang == "bb")
+    out = identify(frame(spark, long)).select("doc_id", "lang_pred").collect()
+    assert dict(tuple(r) for r in out) == {i: lang for i, _, lang in long}
+
+
+def test_memory_is_bounded_for_many_languages():
+    rng = random.Random(9)
+    texts = [(f"l{i:03}", "".join(rng.choice("abcdefgh ") for _ in range(300))) for i in range(200)]
+    scorer = Scorer(fit(texts))
+    assert scorer.bits.nbytes <= 8 << 20
+    ask = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (9000, 3, 0, 5000)]
+    few = [lang for lang in scorer.model.langs[:3]]
+    alone = Scorer(fit([t for t in texts if t[0] in few]))
+    got = np.concatenate([scorer.lengths(d, o) for _, _, d, o in chunks(pa.array(ask), 1 << 17)])
+    want = np.concatenate([alone.lengths(d, o) for _, _, d, o in chunks(pa.array(ask), 1 << 17)])
+    assert np.allclose(got[:, :3], want)
+
+
 def test_nothing_to_learn_from(spark):
     assert [r["lang_pred"] for r in identify(frame(spark, [(1, "the", None)])).collect()] == ["und"]
     assert identify(frame(spark, [])).collect() == []
