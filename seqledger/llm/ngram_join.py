@@ -34,7 +34,7 @@ SEEN, FREQUENT = 3, 1 << 17
 #: Rows of one side of a tile that one task takes before the tile is split.
 TILE_ROWS = 2048
 #: Shingles of earlier tiles that a set carries into a tile.
-BEFORE = 16
+BEFORE = 4
 #: Set ids that are sent to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -239,7 +239,7 @@ def _earlier(p: str, q: str) -> str:
     The first tile in which two sets meet has none of their shingles before it in common, so it
     never leaves them to another.
     """
-    return f"coalesce(arrays_overlap({p}.before, {q}.before), false)"
+    return "coalesce(" + " OR ".join(f"{p}.b{i} = {q}.b{j}" for i in range(BEFORE) for j in range(BEFORE)) + ", false)"
 
 
 def ngram_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,12 +296,17 @@ def ngram_groups(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "
     marked = entries.select("h", "id", "pos").join(groups, F.col("id") == F.col("node"), "left")
     marked = marked.select("h", "id", "pos", F.coalesce("component", "id").alias("g"))
     mixed = marked.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi")
-    # Bitmaps join what is left only after the tiles of a single group are out.
     marked = marked.join(mixed.select("h"), "h", "left_semi")
     # Two sets of one doc_id can't be told apart in a tile, so they carry nothing.
-    marked = marked.join(slim.withColumn("twins", F.count(F.lit(1)).over(Window.partitionBy("id"))), "id")
-    last = F.collect_list("h").over(Window.partitionBy("id").orderBy("pos").rowsBetween(-BEFORE, -1))
-    marked = marked.withColumn("before", F.when(F.col("twins") == 1, last)).drop("twins")
+    marked = marked.join(sets.groupBy("id").agg(F.count(F.lit(1)).alias("twins")), "id")
+    place = Window.partitionBy("id").orderBy("pos")
+    last = [F.when(F.col("twins") == 1, F.lag("h", i + 1).over(place)).alias(f"b{i}") for i in range(BEFORE)]
+    marked = cut(marked.select("h", "id", "pos", "g", *last), "marked")
+    # A tile whose sets all come from one earlier tile has no first meeting.
+    first = marked.groupBy("h").agg(F.min("b0").alias("lo"), F.max("b0").alias("hi"), F.count("b0").alias("from"), F.count(F.lit(1)).alias("rows"))
+    first = first.filter("from < rows or lo <> hi").select("h")
+    # Bitmaps join what is left only after those tiles, and those of a single group, are out.
+    marked = marked.join(first, "h", "left_semi").join(slim, "id")
     step = float(Fraction(100, percent))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step)) + F.lit(1e-9))
     marked = cut(marked.withColumn("band", band), "tiles")

@@ -119,7 +119,7 @@ def test_texts_of_one_id_are_documents_of_their_own(spark):
 def test_pairs_are_left_to_the_first_tile_only(spark, rows, monkeypatch):
     monkeypatch.setattr(ngram_join, "BEFORE", 1)
     assert got(frame(spark, rows), k=2, percent=50) == plain(rows, 2, 50)
-    monkeypatch.setattr(ngram_join, "BEFORE", 1000)
+    monkeypatch.setattr(ngram_join, "BEFORE", 7)
     assert got(frame(spark, rows), k=2, percent=50) == plain(rows, 2, 50)
 
 
