@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import ALNUM, LOWER, chunks, spans, word_hashes
+from .words import ALNUM, LOWER, chunks, parts, spans, word_hashes
 
 #: Characters of items that one automaton holds.
 PART_CHARS = 1_000_000
@@ -118,7 +118,7 @@ def _find(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, known, numbers = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             n = batch.num_rows
             total = np.zeros(n, np.int64)
             hits: list[list[dict]] = batch.column("hits").to_pylist()
@@ -179,11 +179,11 @@ def _automata(spark: SparkSession, items: DataFrame, window: int) -> list:
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.filter("item_id is not null and text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PART_CHARS))
+    pieces = max(1, -(-size // PART_CHARS))
     out = []
-    for part in range(parts):
+    for part in range(pieces):
         vocabulary: dict[bytes, int] = {}
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(pieces)) == part).collect()
         coded = [(r["item_id"], [vocabulary.setdefault(w, len(vocabulary)) for w in item_words(r["text"])]) for r in mine]
         data = np.frombuffer(b" ".join(vocabulary), np.uint8)
         starts, ends, _ = spans(data, np.array([0, len(data)]), ALNUM)
@@ -230,7 +230,7 @@ def _cleaner(inner, names: list[str], share: int, action: str):
     """Rows of ``docs`` without contaminated rows, or with their hit spans taken out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             at = names.index("text")
             n = batch.num_rows
             probe = pa.RecordBatch.from_arrays(

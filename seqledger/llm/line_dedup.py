@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
+from .words import parts
 
 #: Units of fewer words are never removed.
 LEAST_WORDS = 8
@@ -39,7 +40,7 @@ def _units(separator: bytes, least: int):
     """(doc_id, key, unit, d1, d2) of every unit that may be removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows: list[tuple] = []
             for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for at, unit in enumerate((text or "").encode().split(separator)):
@@ -72,7 +73,7 @@ def _cut(names: list[str], added: list[str], text_at: int, separator: str):
     with four names in ``added`` how many units others have too and the words of their longest run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             columns = [batch.column(i) for i in range(len(names))]
             texts, gone, met = columns[text_at].to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
             counts, removed, longest = [], [], []
