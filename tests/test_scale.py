@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seqledger import session
 from seqledger.operators import grouping as g
 from seqledger.operators.ingest import base
-from seqledger.plans import reports
+from seqledger.plans import ingest_queries, reports
 
 
 def plan(df):
@@ -51,3 +51,27 @@ def test_tables_that_compress_well_are_not_sent_to_all_tasks(spark, make):
         found = base.get_or_create(make()["sample"], session.cut(asked, "asked"), "sample", ("name",), base.moment("2024-01-01"))
         assert ("BroadcastHashJoin" in plan(found.rows)) is sent
         assert found.rows.filter("first").count() == found.new.count() == rows.count()
+
+
+def test_loaded_tables_are_merged_in_the_pipeline_queries(spark, make, monkeypatch):
+    """Their files are small however many rows they have; only operations and projects may be sent to all tasks."""
+    n = make(
+        project=[{"id": 1, "name": "A"}], operation=[{"id": 2, "project_id": 1}], readset=[{"id": 3, "name": "r"}, {"id": 4, "name": "q"}],
+        job=[{"id": 5, "operation_id": 2, "name": "trim.r"}, {"id": 6, "operation_id": 2, "name": "merge"}],
+        file=[{"id": 7, "name": "r.trim.fastq.gz", "type": "fastq.gz", "md5sum": "x"}, {"id": 8, "name": "summary.txt", "type": "txt", "md5sum": "y"}],
+        metric=[{"id": 9, "name": "reads", "job_id": 5, "value": "3"}, {"id": 10, "name": "merged", "job_id": 6, "value": "0"}],
+        location=[{"id": 11, "file_id": 7, "uri": "alpha:///trim/r"}, {"id": 12, "file_id": 8, "uri": "alpha:///merge/summary.txt"}],
+        readset_file=[{"readset_id": 3, "file_id": 7}, {"readset_id": 3, "file_id": 8}, {"readset_id": 4, "file_id": 8}],
+        readset_metric=[{"readset_id": 3, "metric_id": 9}, {"readset_id": 3, "metric_id": 10}, {"readset_id": 4, "metric_id": 10}],
+        job_file=[{"job_id": 5, "file_id": 7}, {"job_id": 6, "file_id": 8}], readset_job=[{"readset_id": 3, "job_id": 5}, {"readset_id": 3, "job_id": 6}],
+    )
+    monkeypatch.setattr(reports, "loaded_pipelines", lambda t: (None, t))
+    wanted = {
+        "pipeline_own_files": (0, ("r", "trim.r", "r.trim.fastq.gz", "trim.fastq.gz", "fastq.gz", "alpha:///trim/r", "3")),
+        "pipeline_shared_location": (0, ("alpha:///merge/summary.txt", "y")),
+        "pipeline_metric_versions": (2, ("A", "0", False, 2)), "pipeline_file_versions": (2, ("A", "y", False, 2)),
+    }
+    for name, (sent, row) in wanted.items():
+        out = getattr(ingest_queries, name)(n)
+        assert plan(out).count("BroadcastHashJoin") <= sent, name
+        assert [tuple(r) for r in out.collect()] == [row], name
