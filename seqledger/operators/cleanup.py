@@ -112,7 +112,9 @@ def relink_pairs(t: Tables, groups: DataFrame, links: DataFrame) -> DataFrame:
         .withColumn("copies", F.col("held") - F.coalesce("own", F.lit(0)))
         .filter(F.col("copies") > 0)
     )
-    jobs = t["readset_job"].join(t["job"].select(F.col("id").alias("job_id")), "job_id", "left_semi")
+    # Readsets without a group drop out before jobs are looked up.
+    jobs = t["readset_job"].join(groups.select("readset_id").distinct(), "readset_id", "left_semi").join(
+        t["job"].select(F.col("id").alias("job_id")), "job_id", "left_semi")
     return others.join(jobs, "readset_id").select("job_id", "keep_metric_id", "copies")
 
 
@@ -126,7 +128,8 @@ def relink_jobs_to_kept(t: Tables) -> DataFrame:
     pairs = relink_pairs(t, groups, prune_metric_links(t))
     kept = t["metric"].drop("job_id").withColumnRenamed("id", "keep_metric_id")
     cols = [c for c in t["metric"].columns if c != "id"]
-    return repeat_rows(pairs, "copies").join(kept, "keep_metric_id").select("keep_metric_id", *cols)
+    # Copies are made last, so that none of them is moved to a join.
+    return repeat_rows(pairs.join(kept, "keep_metric_id"), "copies").select("keep_metric_id", *cols)
 
 
 # --- operation configs ----------------------------------------------------------------------

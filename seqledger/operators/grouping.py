@@ -201,10 +201,14 @@ def new_links(link: DataFrame, new: DataFrame) -> DataFrame:
 
 def repeat_rows(rows: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:
     """Each row ``times`` times.  Large counts are first cut into chunks, which are shuffled
-    apart, so neither an array nor a task grows with one row's count."""
+    apart, so neither an array nor a task grows with one row's count.
+
+    The number of partitions is given: adaptive execution would join partitions by the size of the
+    chunks, which says nothing of the rows they stand for."""
     chunks = rows.withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / chunk).cast("int")))
     )
-    spread = chunks.repartition(*[c for c in chunks.columns])
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = chunks.repartition(parts, *[c for c in chunks.columns])
     left = F.least(F.lit(chunk), F.col(times) - F.col("_chunk") * chunk).cast("int")
     return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1), left))).drop("_chunk", "_copy", times)
