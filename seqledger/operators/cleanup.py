@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytes_md5, is_topup, topup_base, topup_number, topup_type, union_alias
 from ..schemas import RUN_PROCESSING, TRANSFER
-from ..session import cut
+from ..session import cut, side
 from .entities import Tables
 from .grouping import (
     add_links,
@@ -315,7 +315,24 @@ def _located(t: Tables) -> DataFrame:
     return _placed(t, only_ids(t["file"], t["location"], "id", "file_id"))
 
 
-STRICT = ["name", "operation_id", "job_id"]
+def _all_placed(t: Tables) -> DataFrame:
+    """(file_id, name, operation_id, job_id, located, named) of all files with their jobs; ``named``
+    files have a uri that ends with their name."""
+    f = t["file"].select(F.col("id").alias("file_id"), "name")
+    spots = (
+        t["location"].select("file_id", "uri").join(f, "file_id")
+        .groupBy(F.col("file_id").alias("_spot"))
+        .agg(F.coalesce(F.max(F.col("uri").endswith(F.col("name"))), F.lit(False)).alias("named"))
+    )
+    f = f.join(spots, F.col("file_id") == F.col("_spot"), "left").withColumn("located", F.col("_spot").isNotNull())
+    j = t["job"].select(F.col("id").alias("job_id"), "operation_id")
+    return t["job_file"].join(f, "file_id").join(j, "job_id").select(
+        "file_id", "name", "operation_id", "job_id", "located", "named"
+    )
+
+
+# Numbers come first, as sorts are quick by them and slow by names that begin alike.
+STRICT = ["job_id", "operation_id", "name"]
 
 
 def strict_candidates(t: Tables, located: DataFrame | None = None) -> DataFrame:
@@ -390,7 +407,7 @@ def _rescuers(t: Tables, located: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(F.col("file_id").alias("located_file_id"), *keys).distinct()
 
 
-LOOSE = ["name", "operation_id"]
+LOOSE = ["operation_id", "name"]
 
 
 def rescue_candidates(t: Tables, loose: bool = True) -> DataFrame:
@@ -416,22 +433,34 @@ def rescue_loose(t: Tables) -> Tables:
     Links to add and links to drop are worked out apart, so removed and located files of a
     name never meet pair by pair.
     """
-    located = cut(_located(t), "located")
-    rescuers = cut(_rescuers(t, located, LOOSE), "rescuers")
+    placed = cut(_all_placed(t), "placed")
+    twins = placed.filter("located").select(*STRICT).distinct()
+    wanted = cut(
+        placed.filter("not located").join(twins, STRICT, "left_anti").select("file_id", *LOOSE).distinct(), "wanted"
+    )
+    # A name and operation goes by a number from here on; once written, the numbers stay.
+    groups = cut(wanted.select(*LOOSE).distinct().withColumn("_group", F.monotonically_increasing_id()), "rescue-groups")
+    groups = side(groups)
+    rescuers = cut(
+        placed.filter("named").join(groups, LOOSE).select(F.col("file_id").alias("located_file_id"), "_group").distinct(),
+        "rescuers",
+    )
     rescued = cut(
-        _untwinned(t, located).select("file_id", *LOOSE).distinct()
-        .join(rescuers.select(*LOOSE).distinct(), LOOSE, "left_semi"),
+        wanted.join(groups, LOOSE).select("file_id", "_group")
+        .join(rescuers.select("_group").distinct(), "_group", "left_semi"),
         "rescued",
     )
-    old = only_ids(t["readset_file"], rescued, "file_id", "file_id")
+    old = cut(t["readset_file"].join(side(rescued), "file_id").select("readset_id", "file_id", "_group"), "old-links")
     # A file no readset links to is not part of the rescue.
-    gone = rescued.select("file_id").distinct().join(old.select("file_id").distinct(), "file_id", "left_semi")
+    gone = cut(old.select("file_id").distinct(), "gone")
     moved = (
-        old.join(rescued, "file_id").select("readset_id", *LOOSE).distinct()
-        .join(rescuers, LOOSE).select("readset_id", F.col("located_file_id").alias("file_id"))
+        old.select("readset_id", "_group").distinct()
+        .join(side(rescuers), "_group").select("readset_id", F.col("located_file_id").alias("file_id"))
     )
     # Rescued files are unlocated, so no added link can point at one of them.
-    return _drop_files({**t, "readset_file": add_links(t["readset_file"], moved)}, gone)
+    out = _drop_files(t, gone)
+    out["readset_file"] = add_links(out["readset_file"], moved)
+    return out
 
 
 # --- orphans --------------------------------------------------------------------------------
